@@ -39,12 +39,12 @@ class Params:
 
 #: A field with a digit or an at sign, anchored at its start so that no text makes the search slow; runs of blanks; what
 #: needs either pattern.
-_VARIABLE, _SPACE, _ODD = r"(?<![^ \t\x0b-\r])[^ \t\x0b-\r0-9@]*+[0-9@][^ \t\x0b-\r]*+", r"[ \t\x0b-\r]+", r"[0-9@\t\x0b-\r]|  "
+_VARIABLE, _SPACE, _ODD = r"(^|[ \t\x0b-\r])[^ \t\x0b-\r0-9@]*+[0-9@][^ \t\x0b-\r]*+", r"[ \t\x0b-\r]+", r"[0-9@\t\x0b-\r]|  "
 
 
 def masked(line: Column) -> Column:
     """A line with single blanks between its tokens and <*> for variable fields."""
-    plain = F.regexp_replace(F.regexp_replace(line, _VARIABLE, "<*>"), _SPACE, " ")
+    plain = F.regexp_replace(F.regexp_replace(line, _VARIABLE, "$1<*>"), _SPACE, " ")
     return F.trim(F.when(line.rlike(_ODD), plain).otherwise(line))
 
 
@@ -58,7 +58,8 @@ def _tokens(line: Column) -> Column:
 
 def _lines(docs: DataFrame, p: Params) -> DataFrame:
     """(row, line, key, leaf, tokens) of each line of docs (row, text) that has a token; line is masked."""
-    out = docs.select("row", F.explode(F.split("text", "\n")).alias("line")).select("row", masked(F.col("line")).alias("line")).where("line <> ''")
+    # masked within the generator: filters on its output don't mask again
+    out = docs.select("row", F.explode(F.transform(F.split("text", "\n"), lambda x: masked(x))).alias("line")).where("line <> ''")
     out = out.withColumn("tokens", _tokens(F.col("line")))
     leaf = _key(F.concat_ws(" ", F.col("tokens").cast("string"), F.substring_index("line", " ", p.depth)))
     return out.select("row", "line", _key(F.col("line")).alias("key"), leaf.alias("leaf"), "tokens")
@@ -76,13 +77,16 @@ def recurring(docs: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame,
     part = F.col("size") <= p.part * F.sum("size").over(row)
     rows = scratch.save(found.select("row", "key", "leaf", "tokens", F.when(part, sort).alias("sort")).where(F.col("tokens") >= p.tokens).drop("tokens"), "rows")
     # documents are counted by (line, sort) before they meet, then sorts by line
-    stats = rows.where("sort is not null").groupBy("key", "leaf", "sort").agg(F.count("*").alias("docs")).groupBy("key", "leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sorts"))
+    stats = rows.where("sort is not null").groupBy("key", "leaf", "sort").agg(F.count("*").alias("docs"), F.min("row").alias("row"))
+    stats = stats.groupBy("key", "leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sorts"), F.min("row").alias("row"))
     stats = scratch.save(stats, "stats")
     leaves = stats.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).where((F.col("lines") > 1) & (F.col("docs") >= p.docs)).select("leaf", "lines")
     leaves = scratch.save(leaves, "leaves")
 
-    # the distinct lines of leaves that may generalise: read again, since most lines are in none
-    again = _lines(docs, p).where(F.col("tokens") > p.depth).where(F.col("tokens") >= p.tokens).join(small(leaves.select("leaf")), "leaf", "left_semi")
+    # the distinct lines of leaves that may generalise, each read again from one document
+    wanted = scratch.save(stats.join(small(leaves.select("leaf")), "leaf", "left_semi").select("row", "key", "leaf"), "wanted")
+    again = _lines(docs.join(small(wanted.select("row").distinct(), 500_000), "row", "left_semi"), p).where(F.col("tokens") > p.depth).select("row", "key", "line")
+    again = again.join(wanted, ["row", "key"])
     variants = scratch.save(again.groupBy("leaf", "key").agg(F.first("line").alias("line")).select("leaf", "key", F.split("line", " ").alias("tokens")), "variants")
     votes = variants.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     votes = votes.join(leaves, "leaf").where(F.col("n") >= p.constant * F.col("lines"))

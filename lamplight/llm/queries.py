@@ -134,7 +134,7 @@ WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
   rows_ AS (SELECT text, m, t, leaf, CASE WHEN length(m) <= 0.5 * whole THEN CASE WHEN start <> l THEN l ELSE nx END END AS sort FROM next_ WHERE len(t) >= 4),
   stats AS (SELECT m, any_value(t) AS t, leaf, count(*) AS docs, count(DISTINCT sort) AS sorts FROM rows_ WHERE sort IS NOT NULL GROUP BY m, leaf),
   leaves AS (SELECT leaf, count(*) AS lines, sum(docs) AS docs FROM stats GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 3),
-  variants AS (SELECT DISTINCT r.leaf, r.m, r.t FROM rows_ r JOIN leaves USING (leaf)),
+  variants AS (SELECT s.leaf, s.m, s.t FROM stats s JOIN leaves USING (leaf)),
   tokens AS (SELECT leaf, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS pos FROM variants),
   votes AS (SELECT v.leaf, pos, token, n FROM (SELECT leaf, pos, token, count(*) AS n FROM tokens GROUP BY ALL) v JOIN leaves USING (leaf) WHERE n >= 0.5 * lines),
   best AS (SELECT leaf, pos, token FROM votes QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY n DESC, token) = 1),
