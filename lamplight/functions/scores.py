@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lamplight.functions.text import collapse, is_navigation, lines
+from lamplight.functions.text import MARKER_LINE, lines
 
 # Fixed values.
 RATIO_BAR, RECALL_BAR = 0.92, 0.95
@@ -19,8 +19,8 @@ WORD = r"[\p{L}\p{N}_]+"
 
 
 def comparable(text: Column) -> Column:
-    """A text for comparison: no navigation lines, single blanks, lower case."""
-    return F.lower(collapse(F.array_join(F.filter(lines(text), lambda x: ~is_navigation(x)), " ")))
+    """A text for comparison: no page markers, single blanks, lower case."""
+    return F.lower(F.array_join(F.filter(lines(text), lambda x: ~x.rlike(MARKER_LINE)), " "))
 
 
 def tokens(text: Column) -> Column:
@@ -40,8 +40,9 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def verdict(expected: Column, actual: Column) -> Column:
     """(recall, ratio, valid): invalid only if both bars are missed, so the slow ratio is asked for after recall fails."""
-    recall = token_recall(expected, actual)
-    ratio = F.when(recall < RECALL_BAR, similarity(F.when(recall < RECALL_BAR, comparable(expected)), F.when(recall < RECALL_BAR, comparable(actual))))
+    a, b = comparable(expected), comparable(actual)
+    recall = token_recall(a, b)
+    ratio = F.when(recall < RECALL_BAR, similarity(F.when(recall < RECALL_BAR, a), F.when(recall < RECALL_BAR, b)))
     return F.struct(recall.alias("recall"), ratio.alias("ratio"), ((recall >= RECALL_BAR) | (ratio >= RATIO_BAR)).alias("valid"))
 
 

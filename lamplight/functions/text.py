@@ -19,11 +19,17 @@ QUESTION, ANSWER, SPEAKER = r"^Q[\.\s]", r"^A[\.\s]", r"^(MR|Mr|THE COURT|WITNES
 TOC_ENTRY = r"^[-*]\s+\["
 NAMED_SPEAKER = r"(?m)^((?:MR|Mr|THE COURT|WITNESS|A JUROR)[^:\n]*):"
 PARENTHESES = r"\s*\([^)]*\)"
-PAGE_RANGE = r"([A-Z]?\s?\d+)(?:\s+1/2)?\s*[-–]\s*([A-Z]?\s?\d+)(?:\s+1/2)?"
+PAGE = r"[A-Z]?\s?\d+(?:\s+1/2)?"
+PAGE_RANGE = r"(?i)([A-Z]?\s?\d+)(?:\s+1/2)?\s*[-–]\s*([A-Z]?\s?\d+)(?:\s+1/2)?"
 PAGE_LIST = r"(?i)\b(?:pp?\.?|pages?|page)\s*([A-Z]?\s?\d+(?:\s+1/2)?)"
-VOLUME, PAGES = r"Volume\s+([A-Z]+|[IVXLCDM]+)", r"(?i)(?:pages?|Volume\s+[A-Z]+,)\s+([ivxlcdm\d -]+)"
+VOLUME, PAGES = r"(?i)Volume\s+([A-Z]+|[IVXLCDM]+)", r"(?i)(?:pages?|Volume\s+[A-Z]+,)\s+([ivxlcdm\d -]+)"
 DATE_TEXT, WITNESS = r"(1886\s+[A-Z][a-z]+\s+\d{1,2}|[A-Z][a-z]+\s+\d{1,2},\s+1886)", r"Testimony of ([^,\n]+)"
 
+YEAR_FIRST, YEAR_LAST = r"(\d{4})\s+([A-Za-z]+)\.?\s+(\d{1,2})", r"([A-Za-z]+)\.?\s+(\d{1,2}),\s*(\d{4})"
+TESTIMONY_TERMS = ["testimony", "direct examination", "cross-examination"]
+LEGAL_TERMS = ["summons", "motion", "order", "indictment"]
+MARKER_LINE = r"^\[Image,\s*.+?\]$"
+
 
 def or_null(c: Column) -> Column:
     """The string, or null if it is empty."""
@@ -84,16 +90,22 @@ def strip_ref(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """ISO date of `1886 July 16`, `July 16, 1886` and their short forms; null of anything else."""
-    text = F.regexp_replace(F.regexp_replace(collapse(c), r"(?i)\bSept\b\.?", "Sep"), r"(?i)\bAugust\b", "Aug")
-    formats = ["yyyy MMMM d", "yyyy MMM d", "MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd"]
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats)).cast("date").cast("string")
+    """ISO date of the first `1886 July 16` in a text, else of the first `July 16, 1886`, months long or short; or null."""
+    text = F.replace(F.replace(F.trim(c), F.lit("Sept."), F.lit("Sep.")), F.lit("August"), F.lit("Aug."))
+    year_first = F.concat_ws(" ", *(found(text, YEAR_FIRST, i) for i in (1, 2, 3)))
+    year_last = F.concat_ws(" ", *(found(text, YEAR_LAST, i) for i in (3, 1, 2)))
+    tries = [F.try_to_timestamp(x, F.lit(f)) for x in (year_first, year_last) for f in ("yyyy MMMM d", "yyyy MMM d")]
+    return F.coalesce(*tries).cast("date").cast("string")
+
+
+def page_number(c: Column) -> Column:
+    return found(c, r"\d+", 0).try_cast("int")
 
 
 def page_range(c: Column) -> Column:
-    """(start, end) of the first range, or of the first single page twice; text as written."""
-    single = found(c, r"([A-Z]?\s?\d+)")
-    return F.struct(F.coalesce(found(c, PAGE_RANGE, 1), single).alias("start"), F.coalesce(found(c, PAGE_RANGE, 2), single).alias("end"))
+    """(start, end) of the first range of pages, or of a text that is one page; nulls otherwise."""
+    only = F.when(F.trim(c).rlike(f"(?i)^{PAGE}$"), page_number(c))
+    return F.struct(F.coalesce(page_number(found(c, PAGE_RANGE, 1)), only).alias("start"), F.coalesce(page_number(found(c, PAGE_RANGE, 2)), only).alias("end"))
 
 
 def number_range(c: Column) -> Column:
@@ -103,19 +115,35 @@ def number_range(c: Column) -> Column:
 
 
 def page_refs(c: Column) -> Column:
-    """Distinct page references in order: the starts in page lists, else the bare value."""
-    listed = F.transform(F.regexp_extract_all(c, F.lit(PAGE_LIST), 1), lambda x: F.trim(x))
-    return F.when(F.size(listed) > 0, F.array_distinct(listed)).when(F.trim(c) != "", F.array(F.trim(c))).otherwise(F.array().cast("array<string>"))
+    """Distinct page references in order: the starts in page lists; else the start of a bare range, or the value itself."""
+    listed = F.transform(F.regexp_extract_all(c, F.lit(PAGE_LIST), 1), lambda x: collapse(x))
+    bare = collapse(F.coalesce(found(F.trim(c), f"(?i)^({PAGE})\\s*[-–]\\s*{PAGE}$"), c))
+    return F.when(F.size(listed) > 0, F.array_distinct(listed)).when(bare != "", F.array(bare)).otherwise(F.array().cast("array<string>"))
+
+
+def page_refs_of(values: Column) -> Column:
+    """The distinct references of several values, in order."""
+    return F.array_distinct(F.flatten(F.transform(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: page_refs(x))))
+
+
+def contains_any(c: Column, terms: list[str]) -> Column:
+    return F.coalesce(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(c, t)), F.lit(False))
 
 
 def classify_source(url: Column, title: Column, text: Column) -> Column:
     """toc, exhibit, testimony or transcript, the first that fits."""
-    link, near = F.lower(url), F.lower(F.concat_ws(" ", url, title, F.substring(text, 1, 500)))
-    return F.when(link.contains("toc"), "toc").when(link.contains("exhibit"), "exhibit").when(near.contains("testimony"), "testimony").otherwise("transcript")
+    link, name, near = F.lower(url), F.lower(title), F.lower(F.concat_ws(" ", url, title, F.substring(text, 1, 500)))
+    return F.when(link.contains("trialtoc") | name.contains("table of contents"), "toc").when(link.contains("/exhibits/") | name.contains("exhibit"), "exhibit").when(contains_any(near, TESTIMONY_TERMS), "testimony").otherwise("transcript")
+
+
+def document_role(kind: Column, title: Column) -> Column:
+    """What a document is, by its source type and then its title."""
+    name = F.lower(F.coalesce(title, F.lit("")))
+    return F.when(kind.isin("testimony", "exhibit", "toc"), kind).when(name.contains("cover page"), "cover").when(contains_any(name, LEGAL_TERMS), "legal_document").otherwise("other")
 
 
 def metadata(url: Column, title: Column, text: Column) -> Column:
-    return F.struct(found(text, VOLUME).alias("volume"), F.trim(found(text, PAGES)).alias("pages"), found(text, DATE_TEXT).alias("date_text"), F.trim(found(title, WITNESS)).alias("witness_name"), F.regexp_replace(url, r"^[a-z]+://[^/]*", "").alias("url_path"))
+    return F.struct(found(text, VOLUME).alias("volume"), or_null(F.trim(found(text, PAGES))).alias("pages"), found(text, DATE_TEXT).alias("date_text"), F.trim(found(title, WITNESS)).alias("witness_name"), F.substring_index(url, "/hadc/", -1).alias("url_path"))
 
 
 def named_speakers(c: Column, most: int = 25) -> Column:

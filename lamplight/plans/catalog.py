@@ -111,7 +111,7 @@ def page_ref_extract(t, spark):
     return rows.select("p_partkey", text.marker_label(F.col("line")).alias("label")).withColumn("ref", text.page_ref(F.col("label")))
 
 
-@query("""SELECT page_id, CASE WHEN contains(lower(url), 'toc') THEN 'toc' WHEN contains(lower(url), 'exhibit') THEN 'exhibit' WHEN contains(lower(concat_ws(' ', url, substr(html, 1, 500))), 'testimony') THEN 'testimony' ELSE 'transcript' END AS source_type FROM pages""")
+@query("""SELECT page_id, CASE WHEN contains(lower(url), 'trialtoc') THEN 'toc' WHEN contains(lower(url), '/exhibits/') THEN 'exhibit' WHEN regexp_matches(lower(concat_ws(' ', url, '', substr(html, 1, 500))), 'testimony|direct examination|cross-examination') THEN 'testimony' ELSE 'transcript' END AS source_type FROM pages""")
 def source_classify(t, spark):
     return t("pages").select("page_id", text.classify_source(F.col("url"), F.lit(""), F.col("html")).alias("source_type"))
 
@@ -328,11 +328,11 @@ def parse_date(t, spark):
     return t("orders").select("o_orderkey", text.parse_date(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("iso"))
 
 
-@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS start, CAST(p_size + 5 AS VARCHAR) AS \"end\", CAST(p_size AS INTEGER) AS first_, CAST(p_size + 5 AS INTEGER) AS last_, CAST(p_size AS VARCHAR) AS refs FROM part")
+@query("SELECT p_partkey, CAST(p_size AS INTEGER) AS start, CAST(p_size + 5 AS INTEGER) AS \"end\", CAST(p_size AS INTEGER) AS first_, CAST(p_size + 5 AS INTEGER) AS last_, CAST(p_size AS VARCHAR) AS refs FROM part")
 def parse_page_range(t, spark):
     rows = t("part").select("p_partkey", F.format_string("pp. %d-%d", F.col("p_size"), F.col("p_size") + 5).alias("s"))
     out = rows.select("p_partkey", text.page_range(F.col("s")).alias("r"), text.number_range(F.col("s")).alias("n"), text.page_refs(F.col("s")).alias("p"))
-    return out.select("p_partkey", F.trim("r.start").alias("start"), F.trim("r.end").alias("end"), F.col("n.start").alias("first_"), F.col("n.end").alias("last_"), F.array_join("p", ",").alias("refs"))
+    return out.select("p_partkey", F.col("r.start").cast("int").alias("start"), F.col("r.end").alias("end"), F.col("n.start").alias("first_"), F.col("n.end").alias("last_"), F.array_join("p", ",").alias("refs"))
 
 
 _DATED = "dated AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events)"
