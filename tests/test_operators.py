@@ -77,14 +77,56 @@ def test_html_drops_scripts_and_navigation(spark):
 
 
 def test_tei_repairs_and_offsets(spark):
-    raw = 'noise <TEI><text><body><pb n="19"><sp who="#p1"><speaker>Mr X</speaker><p>Hi &c. <seg>there</seg></p></sp><p>Q</p></body></text>'
-    rows = tei.flatten(tei.parse(tei.cut_out(raw)))
-    assert [(r["kind"], r["page_ref"], r["start"], r["end"]) for r in rows] == [("sp", "19", 0, 12), ("p", "19", 13, 14)]
-    assert tei.units(tei.parse(tei.cut_out(raw)), "d")[0]["speaker_id"] == "p1"
+    raw = 'noise <TEI><text><body><pb n="19"><sp who="#p1"><speaker>Mr X</speaker><p>Hi  &c. <seg corresp="#e" xml:id="m">there</seg></p></sp><pb/><p>Q</p></body></text><annotation target="#m" type="place"/><annotation target="#gone"/></TEI> tail'
+    doc = tei.read(tei.parse(tei.cut_out(raw)))
+    assert [(r["kind"], r["page_ref"], r["start"], r["end"], r["speaker_id"]) for r in doc["segments"]] == [("speech", "19", 0, 17, "p1"), ("text", None, 18, 19, None)]
+    assert [(p["page_ref"], p["offset"]) for p in doc["page_refs"]] == [("19", 0), (None, 17)]
+    assert [(m["kind"], m["entity_id"], doc["text"][m["start"] : m["end"]]) for m in doc["mentions"]] == [("entity", "e", "there"), ("place", "e", "there")]
+    assert doc["dangling"] == ["gone"] and (doc["speech_turns"], doc["turns_with_who"]) == (1, 1)
+    assert tei.units(tei.parse(tei.cut_out(raw)))[0] == {"unit_index": 0, "unit_id": "sp_000", "kind": "sp", "speaker_id": "p1", "page_ref": "19", "text": "Mr XHi &c. there"}
     bad = tei.segment_rows(spark.createDataFrame([(1, "<TEI><p></TEI>"), (2, None)], "k long, t string"), "k", "t").collect()
     assert all(r["error"] for r in bad) and len(bad) == 2
 
 
+BODY = "Title & <b>\n[Image, Volume I, Page 19]\nQ. What?\nA Yes.\n[Image, front]\nMR. NAME: hello\nWITNESS leaves\n[stage]"
+
+
+def test_tei_from_lines_reads_back(spark):
+    rows = spark.createDataFrame([("s1", BODY, ["i1"]), ("s2", None, None)], "id string, t string, images array<string>")
+    one = tei.build(F.col("id"), F.lit('http://u/"x"'), F.lit("T"), F.lit("testimony"), F.lit("now"), F.lit("ff"), F.col("t"), F.col("images"))
+    made = {r["id"]: r["tei"] for r in rows.select("id", one.alias("tei")).collect()}
+    for text in made.values():
+        assert tei.serialize(tei.ET.fromstring(text)) == text
+    doc = tei.read(tei.parse(made["s1"]))
+    assert [(s["kind"], s["line"], s["page_ref"], s["text"]) for s in doc["segments"]] == [("text", 0, None, "Title & <b>"), ("question", 2, "19", "Q. What?"), ("answer", 3, "19", "A Yes."), ("speaker", 5, "front", "MR. NAME: hello"), ("speaker", 6, "front", "WITNESS leaves"), ("reference", 7, "front", "[stage]")]
+    assert [p["facs"] for p in doc["page_refs"]] == ["i1", None] and tei.read(tei.parse(made["s2"]))["text"] == ""
+
+
+def test_tei_from_rows(spark):
+    rows = spark.createDataFrame([("d", 0, "19", None, None, " a "), ("d", 1, "19", "Mr X", "p", "b & c"), ("d", 2, None, "Mr Y", "#q", "d"), ("d", 3, "20", "Z", None, " "), ("e", 0, None, None, None, None)], "id string, o int, page string, speaker string, speaker_id string, text string")
+    cues = spark.createDataFrame([("d", "20", "f20")], "id string, page_ref string, facs string")
+    made = {r["id"]: r["tei"] for r in tei.synthesize(rows, cues, "id", "o").collect()}
+    for text in made.values():
+        assert tei.serialize(tei.ET.fromstring(text)) == text
+    doc = tei.read(tei.parse(made["d"]))
+    assert [(s["line"], s["page_ref"], s["speaker_id"], s["text"]) for s in doc["segments"]] == [(None, "19", None, "a"), (0, "19", "p", "Mr X b & c"), (1, "19", "q", "Mr Y d")]
+    assert [(p["page_ref"], p["facs"]) for p in doc["page_refs"]] == [("19", None), ("20", "f20")]
+
+
+def test_tei_combines_rewrites_and_annotates(spark):
+    part = "<TEI><text><body><div><p>{}</p></div></body></text><standOff><listAnnotation>{}</listAnnotation></standOff></TEI>"
+    rows = spark.createDataFrame([("d", 1, part.format("two", "b")), ("d", 0, part.format("one", "a")), ("e", 0, "<x"), ("f", 0, "<x"), ("f", 1, "y")], "id string, o int, t string")
+    made = {r["id"]: r for r in tei.combined(rows, "id", "o", "t").collect()}
+    assert tei.read(tei.parse(made["d"]["tei"]))["text"] == "one\ntwo" and made["d"]["tei"].count("<standOff>") == 1 and "b" in made["d"]["tei"]
+    assert made["e"]["tei"] == "<x" and made["f"]["error"]
+    docs = spark.createDataFrame([("d", '<TEI><text><body><p corresp="#a b" xml:id="a">Ann</p></body></text></TEI>', {"a": "c"}, [("m", "person", "c", 0, 3, "Ann", 0.123456)])], "id string, t string, ids map<string, string>, m array<struct<id: string, kind: string, entity_id: string, start: long, end: long, text: string, confidence: double>>")
+    assert 'corresp="#c b" xml:id="c"' in tei.rewritten(docs, "id", "t", "ids").first()["tei"].replace('xml:id="c" corresp="#c b"', 'corresp="#c b" xml:id="c"')
+    out = tei.annotated(docs, "id", "t", "m")
+    assert 'cert="0.1235"' in out.first()["tei"]
+    got = tei.transcripts(out, "id", "tei").first()
+    assert [(m["kind"], m["entity_id"], m["start"], m["end"], m["text"]) for m in got["mentions"]] == [("person", "c", 0, 3, "Ann")]
+
+
 def test_jsonl_rows(spark):
     raw = 'prose\n```\n{"text": "a"}\n{"text": null}\n{"x": 1}\n{broken}\n```'
     assert one(spark, F.size(store.jsonl_rows(F.col("s"))), s=raw) == 2
