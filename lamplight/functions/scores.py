@@ -15,6 +15,29 @@ from lamplight.functions.text import MARKER_LINE, lines
 RATIO_BAR, RECALL_BAR = 0.92, 0.95
 GEOCODE_BASE = {"ROOFTOP": 0.95, "RANGE_INTERPOLATED": 0.8, "GEOMETRIC_CENTER": 0.7, "APPROXIMATE": 0.55}
 GEOCODE_OTHER = 0.5
+#: US dollars per million tokens in and out, by model.
+PRICES = {
+    "gpt-4o-mini": (0.15, 0.60),
+    "gpt-4o": (2.50, 10.00),
+    "gpt-4.1-nano": (0.10, 0.40),
+    "gpt-4.1-mini": (0.40, 1.60),
+    "gpt-4.1": (2.00, 8.00),
+    "gpt-5-nano": (0.05, 0.40),
+    "gpt-5-mini": (0.25, 2.00),
+    "gpt-5": (1.25, 10.00),
+    "gpt-5-pro": (15.00, 120.00),
+    "gpt-5.1": (1.25, 10.00),
+    "gpt-5.2": (1.75, 14.00),
+    "gpt-5.4-nano": (0.20, 1.25),
+    "gpt-5.4-mini": (0.75, 4.50),
+    "gpt-5.4": (2.50, 15.00),
+    "gpt-5.4-pro": (30.00, 180.00),
+    "gpt-5.5": (5.00, 30.00),
+    "gpt-5.5-pro": (30.00, 180.00),
+    "o3-mini": (1.10, 4.40),
+    "o4-mini": (1.10, 4.40),
+    "o3": (2.00, 8.00),
+}
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -52,6 +75,12 @@ def estimate_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return usage.join(F.broadcast(prices), "model", "left").withColumn("cost_usd", F.coalesce(F.round(cost, 8), F.lit(0.0))).drop("input_per_m", "output_per_m")
 
 
+def list_price(model: Column, input_tokens: Column, output_tokens: Column) -> Column:
+    """US dollars by PRICES; 0 for a model that isn't listed."""
+    rate = lambda i: F.coalesce(*(F.when(model == m, p[i]) for m, p in PRICES.items()), F.lit(0.0))
+    return input_tokens / 1e6 * rate(0) + output_tokens / 1e6 * rate(1)
+
+
 def geocode_confidence(kind: Column, model: Column) -> Column:
     """The lesser of what the kind of place allows and the model's confidence; 0 or null of the model leaves the first."""
     base = F.coalesce(*(F.when(kind == k, v) for k, v in GEOCODE_BASE.items()), F.lit(GEOCODE_OTHER))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StringType, StructType
 
-from lamplight.functions.text import label_variants
+from lamplight.functions.text import label_variants, normalize_label
 
 
 def _held(c: Column, kind) -> Column:
@@ -18,21 +18,25 @@ def _held(c: Column, kind) -> Column:
     return c.isNotNull()
 
 
-def _fold(c: Column, name: str, kind, order: Column) -> Column:
+def _fold(c: Column, name: str, kind, order: Column, sort_lists: bool) -> Column:
     if isinstance(kind, StructType):
-        return F.struct(*(_fold(c[f.name], f.name, f.dataType, order).alias(f.name) for f in kind))
+        return F.struct(*(_fold(c[f.name], f.name, f.dataType, order, sort_lists).alias(f.name) for f in kind))
     if name == "confidence" and isinstance(kind, NumericType):
         return F.max(c)
-    if isinstance(kind, ArrayType):
+    if isinstance(kind, ArrayType) and sort_lists:
         return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    if isinstance(kind, ArrayType):
+        held = F.when(c.isNotNull(), F.struct(order.alias("o"), c.alias("v")))
+        return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(held), lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)), lambda x: x["v"])))
     return F.min_by(F.when(_held(c, kind), c), F.when(_held(c, kind), order))
 
 
-def merge_entities(items: DataFrame, key: str, order: list[str]) -> DataFrame:
+def merge_entities(items: DataFrame, key: str, order: list[str], sort_lists: bool = True) -> DataFrame:
     """One row per key, items folded in order: confidence takes the largest, lists their sorted distinct union, structs
-    fold field by field, and other fields the first value that isn't empty. Aggregates alone, so partial before they shuffle."""
+    fold field by field, and other fields the first value that isn't empty. Without sort_lists, list elements stay in the
+    order of their items. Aggregates alone, so partial before they shuffle."""
     place = F.struct(*order)
-    return items.groupBy(key).agg(*(_fold(F.col(f.name), f.name, f.dataType, place).alias(f.name) for f in items.schema if f.name not in (key, *order)))
+    return items.groupBy(key).agg(*(_fold(F.col(f.name), f.name, f.dataType, place, sort_lists).alias(f.name) for f in items.schema if f.name not in (key, *order)))
 
 
 def id_map(items: DataFrame, old: str, new: str, order: list[str]) -> DataFrame:
@@ -94,3 +98,37 @@ def top(df: DataFrame, by: list[Column], n: int) -> DataFrame:
 
 def rank(df: DataFrame, keys: list[str], by: list[Column], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("long"))
+
+
+def _first_label(*parts: Column) -> Column:
+    return normalize_label(F.coalesce(*(F.nullif(p, F.lit("")) for p in parts), F.lit("")))
+
+
+def person_key(display_name: Column, alternate_names: Column, identifier: Column) -> Column:
+    """The label a person is grouped by: the first name there is, else the id."""
+    return _first_label(display_name, F.get(F.filter(alternate_names, lambda x: F.coalesce(x, F.lit("")) != ""), 0), identifier)
+
+
+def location_key(name: Column, address: Column, modern_address: Column, identifier: Column) -> Column:
+    return _first_label(name, address, modern_address, identifier)
+
+
+def event_key(title: Column, start: Column, place: Column) -> Column:
+    return normalize_label(F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in (title, start, place))))
+
+
+def rewrite_bundle(table: DataFrame, key: str, scalars: dict[str, DataFrame], lists: dict[str, DataFrame]) -> DataFrame:
+    """A child table of bundles under canonical ids: scalar and list columns, each by the map of what it names."""
+    for column, ids in scalars.items():
+        table = rewrite_id(table, column, ids)
+    for column, ids in lists.items():
+        table = table.drop(column).join(rewrite_ids(table, key, column, ids), key)
+    return table
+
+
+def last_wins(dictionaries: list[DataFrame], key: str, value: str) -> DataFrame:
+    """(key, value): of all dictionaries, in turn, the last entry of each key. Each has ordinal, key and value."""
+    out = dictionaries[0].select(F.lit(0).alias("_d"), "ordinal", key, value)
+    for i, d in enumerate(dictionaries[1:], 1):
+        out = out.union(d.select(F.lit(i), "ordinal", key, value))
+    return out.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(value), F.struct("_d", "ordinal")).alias("v")).select(key, f"v.{value}")
