@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lamplight.functions import scores, text
 from lamplight.operators import checks, costs, mentions, resolve, segments, timeline
+from lamplight.plans.registry import query
 from lamplight.sources import html
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"), spark)
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 LABELS = [("person_the", "the"), ("person_ation", "ation"), ("location_und", "und")]
 _LABELS = ", ".join(f"('{a}', '{b}')" for a, b in LABELS)
 PRICES = [("click", 1.0, 2.0), ("view", 0.5, 1.5), ("purchase", 3.0, 6.0)]
 _PRICES = ", ".join(map(str, PRICES))
 
 
-def _labels(spark: SparkSession) -> DataFrame:
+def _labels(spark: SparkSession):
     return spark.createDataFrame(LABELS, "entity_id string, label string")
 
 
@@ -440,11 +425,3 @@ def cache_inventory(t, spark):
 def map_bounds(t, spark):
     rows = t("supplier").join(F.broadcast(t("nation")), F.col("n_nationkey") == F.col("s_nationkey")).where("s_acctbal is not null and s_nationkey is not null")
     return rows.agg(F.min("s_acctbal").alias("south"), F.max("s_acctbal").alias("north"), F.min("s_nationkey").alias("west"), F.max("s_nationkey").alias("east"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
