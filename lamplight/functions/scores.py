@@ -52,7 +52,8 @@ def tokens(text: Column) -> Column:
 
 def token_recall(expected: Column, actual: Column) -> Column:
     """The share of the distinct words of expected that actual has; 1 if there is none."""
-    return F.when(F.size(tokens(expected)) == 0, 1.0).otherwise(F.size(F.array_intersect(tokens(expected), tokens(actual))) / F.size(tokens(expected)))
+    pair = F.struct(tokens(expected).alias("e"), tokens(actual).alias("a"))  # an array of one, so that each side is split once
+    return F.get(F.transform(F.array(pair), lambda p: F.when(F.size(p["e"]) == 0, 1.0).otherwise(F.size(F.array_intersect(p["e"], p["a"])) / F.size(p["e"]))), 0)
 
 
 @F.pandas_udf(DoubleType())

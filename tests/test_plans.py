@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lamplight.operators import reader, resolve, runs
-from lamplight.plans import geo, publish
-
+from lamplight.plans import contracts, geo, publish
+from lamplight.sources import store
 
 USAGE = runs.USAGE
 
@@ -124,3 +126,37 @@ def test_details(spark):
     claims = spark.createDataFrame([("c", "s", "p", None), ("d", "s", "z", ("own", "w")), ("e", "t", None, None)], "id string, source_id string, reported_by_person_id string, source struct<id: string, url: string>")
     out = {r["id"]: r for r in reader.claim_details(claims, people, spark.createDataFrame([("s", "u")], "source_id string, url string")).collect()}
     assert [(out[k]["reporter"], out[k]["source"] and out[k]["source"]["url"]) for k in "cde"] == [("Bea", "u"), ("z", "w"), ("unknown", None)]
+
+
+def test_contracts(tmp_path):
+    part = {"type": "object", "title": "P", "required": ["id"], "properties": {"id": {"type": "string", "pattern": "^p"}, "more": {"type": "string"}}}
+    whole = {"$id": "x", "type": "object", "properties": {"people": {"type": "array", "items": {}}, "n": {"type": ["number", "null"], "minimum": 0}, "open": {}}}
+    for n, s in (("w.json", whole), ("p.json", part)):
+        (tmp_path / n).write_text(json.dumps(s))
+    got = contracts.strict(contracts.load(str(tmp_path), "w.json", {"people.items": "p.json"}))
+    assert got == {"type": "object", "properties": {"people": {"type": "array", "items": {"type": "object", "required": ["id"], "properties": {"id": {"type": "string"}}, "additionalProperties": False}}, "n": {"type": ["number", "null"]}, "open": {}}, "additionalProperties": False, "required": ["people", "n", "open"]}
+    assert contracts.ddl(got) == "struct<`people`: array<struct<`id`: string>>, `n`: double, `open`: variant>"
+
+
+def test_store(spark, tmp_path):
+    root = f"file://{tmp_path}/raw"
+    pages = spark.createDataFrame([("source_a", "T")], "source_id string, title string")
+    store.pull(pages, root, "20260101T000000Z")
+    got = store.pull(pages.withColumn("title", F.lit("U")), root, "20260102T000000Z").first()
+    assert got["title"] == "U" and got["paths"]["tei"] == f"{root}/20260102T000000Z/tei/source_a.xml"
+    assert store.load_run(spark, root, "pages").first()["title"] == "U" and store.load_run(spark, root, "pages", "20260101T000000Z").first()["title"] == "T"
+    assert store.run_id(spark, "2026-01-02T03:04:05Z") == "20260102T030405Z"
+    (tmp_path / "enriched" / "people").mkdir(parents=True)
+    (tmp_path / "enriched" / "people" / "latest.json").write_text('{"items": [{"id": "p"}]}')
+    schemas = {n: StructType().add("id", "string") for n in store.DATASETS}
+    assert [store.map_payload(spark, f"file://{tmp_path}/enriched", schemas)[n].count() for n in ("people", "events")] == [1, 0]
+    for name, text, n in (("empty", '{"items": []}', 0), ("list", '[{"id": "a"}, {"id": "b"}]', 2)):
+        (tmp_path / f"{name}.json").write_text(text)
+        assert store.read_items(spark, f"file://{tmp_path}/{name}.json", schemas["people"]).count() == n
+    with pytest.raises(KeyError):
+        store.dataset(spark, root, "other", schemas)
+    assert store.clear_generated(spark, f"file://{tmp_path}") > 1
+    links = spark.createDataFrame([(0, "http://h/hadc/transcript/b.htm"), (1, "http://h/x.htm"), (2, "http://h/hadc/transcript/b.htm"), (3, "http://h/hadc/transcript/a.htm")], "index int, url string")
+    assert [r["url"][-5:] for r in store.corpus_urls("http://h/toc", links).orderBy("ordinal").collect()] == ["h/toc", "b.htm", "a.htm"]
+    bundles = spark.createDataFrame([("source_a", 0, "x"), ("source_a", 1, "y")], "source_id string, o int, v string")
+    assert store.last_bundle(pages, bundles, "o").first()["bundle"]["v"] == "y"
