@@ -62,12 +62,14 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-def verdict(expected: Column, actual: Column) -> Column:
-    """(recall, ratio, valid): invalid only if both bars are missed, so the slow ratio is asked for after recall fails."""
-    a, b = comparable(expected), comparable(actual)
-    recall = token_recall(a, b)
-    ratio = F.when(recall < RECALL_BAR, similarity(F.when(recall < RECALL_BAR, a), F.when(recall < RECALL_BAR, b)))
-    return F.struct(recall.alias("recall"), ratio.alias("ratio"), ((recall >= RECALL_BAR) | (ratio >= RATIO_BAR)).alias("valid"))
+def verdicts(df: DataFrame, expected: str, actual: str) -> DataFrame:
+    """df with recall, ratio and valid: invalid only if both bars are missed, so the slow ratio is asked for after recall fails.
+    Step by step, so that no text is prepared twice."""
+    out = df.withColumns({"_a": comparable(F.col(expected)), "_b": comparable(F.col(actual))})
+    out = out.withColumn("recall", token_recall(F.col("_a"), F.col("_b")))
+    asked = F.col("recall") < RECALL_BAR
+    out = out.withColumn("ratio", F.when(asked, similarity(F.when(asked, F.col("_a")), F.when(asked, F.col("_b")))))
+    return out.withColumn("valid", (F.col("recall") >= RECALL_BAR) | (F.col("ratio") >= RATIO_BAR)).drop("_a", "_b")
 
 
 def estimate_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:

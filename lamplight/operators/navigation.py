@@ -35,6 +35,15 @@ ENTITY_REF = "struct<label: string, canonical_id: string, role_or_relationship:
 #: What an event reference of a briefing has; document events have the kind too.
 EVENT_REF = f"struct<label: string, canonical_id: string, event_kind: string, event_time: {TIME}, location_label: string, location_id: string, participant_labels: array<string>, participant_person_ids: array<string>, summary: string, supporting_quote: string, page_refs: array<string>, confidence: double>"
 STRINGS = "array<string>"
+_SHOWN_TIME = "struct<start: string, end: string, normalized_date: string, precision: string, original_text: string>"
+_SHOWN_EVENT = f"event_time: {_SHOWN_TIME}, location_label: string, location_id: string, participant_labels: array<string>, participant_person_ids: array<string>, summary: string, supporting_quote: string, page_refs: array<string>, confidence: double"
+#: What build makes, as a type: for sources that are read, or that there are none of.
+NAVIGATION = (
+    "struct<brief_title: string, navigation_summary: string, document_date: struct<original_text: string, normalized_date: string, precision: string>, "
+    "document_order: struct<volume: string, page_start: int, page_end: int, sequence_label: string>, document_role: string, topics: array<string>, "
+    f"primary_people: array<{ENTITY_REF}>, primary_locations: array<{ENTITY_REF}>, referenced_events: array<struct<label: string, canonical_id: string, {_SHOWN_EVENT}>>, "
+    f"document_events: array<struct<label: string, event_kind: string, {_SHOWN_EVENT}>>, claim_count: bigint, event_reference_count: bigint, document_event_count: bigint, confidence: double>"
+)
 
 
 def _none(kind: str) -> Column:

@@ -292,7 +292,7 @@ def token_recall(t, spark):
 def text_verdict(t, spark):
     c = t("conversations")
     pairs = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other")), ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", scores.verdict(F.col("text"), F.col("other")).alias("v")).select("conv_id", "turn", "v.*")
+    return scores.verdicts(pairs, "text", "other").select("conv_id", "turn", "recall", "ratio", "valid")
 
 
 @query("""SELECT o_orderkey, coalesce((SELECT string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'N'

@@ -93,10 +93,10 @@ _BRIEF = "source_id long, brief_title string, navigation_summary string, summary
 @query(f"""WITH {_TITLED} SELECT o_orderkey AS source_id, title AS brief_title, strftime(o_orderdate, '%Y-%m-%d') AS day, {_ROLE} AS role, CAST(o_custkey AS INTEGER) AS page_start, CAST(o_custkey + 3 AS INTEGER) AS page_end, CASE WHEN o_orderkey % 3 = 0 THEN 'Ann' ELSE '' END AS people FROM titled""")
 def catalogue_navigation(t, spark):
     """The catalogue's fallback where a source has no navigation."""
-    none = navigation.build(_titled(t).limit(0), spark.createDataFrame([], _BRIEF), t("orders").select(F.col("o_orderkey").alias("source_id")).limit(0), *_pools(spark)).limit(0)
+    none = spark.createDataFrame([], f"source_id long, navigation {navigation.NAVIGATION}")
     n = F.col("navigation")
     names = F.array_join(F.transform(n["primary_people"], lambda x: x["label"]), ",")
-    return navigation.with_fallback(_titled(t).withColumn("source_id", F.col("source_id").cast("long")), none.withColumn("source_id", F.col("source_id").cast("long"))).select("source_id", n["brief_title"].alias("brief_title"), n["document_date"]["normalized_date"].alias("day"), n["document_role"].alias("role"), n["document_order"]["page_start"].alias("page_start"), n["document_order"]["page_end"].alias("page_end"), names.alias("people"))
+    return navigation.with_fallback(_titled(t), none).select("source_id", n["brief_title"].alias("brief_title"), n["document_date"]["normalized_date"].alias("day"), n["document_role"].alias("role"), n["document_order"]["page_start"].alias("page_start"), n["document_order"]["page_end"].alias("page_end"), names.alias("people"))
 
 
 def _pools(spark):

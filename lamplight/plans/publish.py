@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.functions.scores import RATIO_BAR, RECALL_BAR, comparable, verdict
+from lamplight.functions.scores import RATIO_BAR, RECALL_BAR, verdicts
 from lamplight.operators import mentions, runs
 from lamplight.operators.checks import missing
 from lamplight.sources import tei
@@ -53,13 +53,13 @@ def validate(pages: DataFrame, docs: DataFrame) -> DataFrame:
     page references that are missing only warn; the ratio is computed only where the recall fails."""
     flat = tei.transcripts(docs, "source_id", "tei")
     both = pages.select("source_id", F.coalesce("text", F.lit("")).alias("_expected"), F.col("page_refs").alias("_refs")).join(flat, "source_id")
-    both = both.withColumn("v", verdict(F.col("_expected"), F.coalesce("text", F.lit(""))))
+    both = verdicts(both.withColumn("text", F.coalesce("text", F.lit(""))), "_expected", "text")
     actual = F.filter(F.transform("page_refs", lambda x: x["page_ref"]), lambda x: F.coalesce(x, F.lit("")) != "")
     both = both.withColumn("missing_page_refs", missing(F.filter("_refs", lambda x: F.coalesce(x, F.lit("")) != ""), actual))
-    drift = F.format_string(f"TEI text drift ratio %.4f below {RATIO_BAR:.2f} and token recall %.4f below {RECALL_BAR:.2f}", "v.ratio", "v.recall")
+    drift = F.format_string(f"TEI text drift ratio %.4f below {RATIO_BAR:.2f} and token recall %.4f below {RECALL_BAR:.2f}", "ratio", "recall")
     errors = F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("XML parse error: "), "error"))).otherwise(
-        F.filter(F.array(F.when(~F.col("has_body"), F.lit("Missing TEI body")), F.when(~F.col("v.valid"), drift), F.when(F.size("dangling") > 0, F.lit("One or more TEI annotation targets do not resolve"))), lambda x: x.isNotNull())
+        F.filter(F.array(F.when(~F.col("has_body"), F.lit("Missing TEI body")), F.when(~F.col("valid"), drift), F.when(F.size("dangling") > 0, F.lit("One or more TEI annotation targets do not resolve"))), lambda x: x.isNotNull())
     )
     warnings = F.when(F.col("error").isNull() & (F.size("missing_page_refs") > 0), F.array(F.concat(F.lit("Missing page refs in TEI: "), F.array_join(F.slice("missing_page_refs", 1, 10), ", ")))).otherwise(F.array().cast("array<string>"))
     counts = ["speech_turns", "turns_with_who", "answer_turns", "answer_turns_with_who", "annotations", "dangling"]
-    return both.withColumns({"errors": errors, "warnings": warnings}).select("source_id", F.when(F.size("errors") == 0, "valid").otherwise("invalid").alias("status"), "errors", "warnings", F.round("v.ratio", 4).alias("similarity_ratio"), F.round("v.recall", 4).alias("token_recall"), F.length(comparable(F.col("_expected"))).alias("expected_chars"), "missing_page_refs", *counts)
+    return both.withColumns({"errors": errors, "warnings": warnings}).select("source_id", F.when(F.size("errors") == 0, "valid").otherwise("invalid").alias("status"), "errors", "warnings", F.round("ratio", 4).alias("similarity_ratio"), F.round("recall", 4).alias("token_recall"), "missing_page_refs", *counts)

@@ -1,4 +1,5 @@
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lamplight.operators import navigation as nav
 
@@ -29,6 +30,7 @@ def built(spark):
 
 def test_navigation(spark):
     pages, df = built(spark)
+    assert df.schema["navigation"].dataType.simpleString() == StructType.fromDDL(f"n {nav.NAVIGATION}")["n"].dataType.simpleString()
     got = {r["source_id"]: r["navigation"] for r in df.collect()}
     a, b = got["s1"], got["s2"]
     assert (a["brief_title"], a["navigation_summary"], a["document_role"], a["topics"]) == ("Testimony", "sum", "testimony", ["a", "b"])

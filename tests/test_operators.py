@@ -55,7 +55,7 @@ def test_occurrences_and_suppression(spark):
 
 def test_verdict_needs_both_bars_missed(spark):
     rows = spark.createDataFrame([("a b c d", "d c b a"), ("a b c d", "x y z w"), ("", "")], "a string, b string")
-    assert [r["v"]["valid"] for r in rows.select(scores.verdict(F.col("a"), F.col("b")).alias("v")).collect()] == [True, False, True]
+    assert [r["valid"] for r in scores.verdicts(rows, "a", "b").collect()] == [True, False, True]
 
 
 def test_geocode_confidence(spark):
