@@ -160,3 +160,36 @@ def test_store(spark, tmp_path):
     assert [r["url"][-5:] for r in store.corpus_urls("http://h/toc", links).orderBy("ordinal").collect()] == ["h/toc", "b.htm", "a.htm"]
     bundles = spark.createDataFrame([("source_a", 0, "x"), ("source_a", 1, "y")], "source_id string, o int, v string")
     assert store.last_bundle(pages, bundles, "o").first()["bundle"]["v"] == "y"
+
+
+def test_small_reader_rules(spark):
+    pages = spark.createDataFrame([("source_ab", "toc", "1"), ("source_b", None, "2"), ("source_c", "exhibit", None)], "source_id string, source_type string, page_ref string")
+    assert sorted(r[0] for r in reader.without_contents(pages).select("source_id").collect()) == ["source_b", "source_c"]
+    assert reader.pages_matching(pages, "source_id", ["_b", "ab"]).count() == 2 and reader.by_key(pages, "source_id", "source_b").count() == 1
+    with pytest.raises(ValueError):
+        reader.pages_matching(pages, "source_id", ["zz"])
+    with pytest.raises(ValueError):
+        reader.by_key(pages, "source_id", "b")
+    rows = spark.createDataFrame([("d", 0, "1", "a"), ("d", 1, "2", "b"), ("d", 2, "2", "c")], "k string, index int, page_ref string, unit_id string")
+    assert reader.page_jump(rows, "k", "2").first()["index"] == 1
+    audit = spark.createDataFrame([("d", "c"), ("d", "x"), ("d", "a")], "k string, unit_id string")
+    placed = reader.in_document_order(audit, rows.withColumnRenamed("index", "unit_index"), "k").orderBy("place").collect()
+    assert [r["unit_id"] for r in placed] == ["a", "c", "x"]
+
+
+def test_small_run_rules(spark, tmp_path):
+    ids = spark.createDataFrame([("a", "A")], "old_id string, canonical_id string")
+    claims = spark.createDataFrame([("c", "a", ["b", "a", None])], "id string, who string, subjects array<string>")
+    assert tuple(resolve.rewrite_bundle(claims, "id", {"who": ids}, {"subjects": ids}).select("id", "who", "subjects").first()) == ("c", "A", ["A", "b"])
+    pages = spark.createDataFrame([("s", "toc"), ("t", None)], "source_id string, source_type string")
+    results = spark.createDataFrame([("t", "success", True, (1, 2, 3, 0, 0), 0.5)], f"source_id string, status string, reused boolean, usage {USAGE}, cost_usd double")
+    r = runs.brief_totals(pages, results).first()
+    assert (r["pages"], r["skipped"], r["briefings"], r["reused"], r["usage"]["total_tokens"], r["cost_usd"]) == (1, 1, 1, 1, 3, 0.5)
+    assert runs.cacheable(results).count() == 1
+    item = spark.createDataFrame([([("##p",)], (None, 1.0, None, None))], "i array<struct<id: string>>, c struct<lat: double, lng: double, confidence: double, method: string>")
+    got = item.select(runs.bare_ids(F.col("i")).alias("i"), runs.coordinates(F.col("c")).alias("c")).first()
+    assert got["i"][0]["id"] == "p" and tuple(got["c"]) == (None, 1.0, 0.0, runs.UNRESOLVED_METHOD)
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    assert store.read_text(spark, f"file://{tmp_path}/a.txt").first()["text"] == "x\ny\n"
+    row = spark.range(1).select(store.cache_paths("r", F.lit("k"), F.lit("p")).alias("c"), store.brief_path("r", F.lit("1"), F.lit("M 1"), F.lit("p")).alias("b")).first()
+    assert row["c"]["bundle"] == "r/k/p/bundle.json" and row["b"] == "r/1/m_1/p/briefing.json"
