@@ -5,9 +5,9 @@ or an at sign are variable. In each leaf, positions at which most distinct lines
 variable; lines that agree with most constants share the leaf's template, others are templates of their own. Templates
 that recur across documents are dropped.
 
-Copies of a document are no recurrence: near copies share nearly all lines, so what counts besides documents is how many
-sorts of documents they are otherwise. A document's sort, seen from one of its lines, is the smallest hash of how its
-other lines begin (a MinHash of one permutation); a document of one line has no other and tells nothing.
+Copies of a document are no recurrence: near copies share nearly all lines, so what counts is how many classes of near
+copies a template occurs in. Documents are near copies if their words, weighed by length, are alike; bands of MinHashes
+over how lines begin and end find whom to compare.
 """
 
 from __future__ import annotations
@@ -17,16 +17,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Scratch, small
+from lamplight.llm.common import Scratch, components, small
 
 
 @dataclass(frozen=True)
 class Params:
     """depth: leading tokens that name a leaf. tokens: fewest of a line that can be dropped. docs: fewest documents, and
-    fewest sorts of documents, across which a template recurs. sorts: least share of these sorts among the documents.
-    part: of its document's characters, beyond which a line tells nothing: then it is the document that recurs.
+    fewest classes of near copies, across which a template recurs. sorts: least share of these classes among the
+    documents. part: of its document's characters, beyond which a line tells nothing: then it is the document that recurs.
     constant: share of a leaf's distinct lines that agree on a constant token. alike: share of a line's tokens that equal
-    constants of its leaf's template."""
+    constants of its leaf's template. near: similarity of near copies. bands, hashes: of MinHashes that compare documents."""
 
     depth: int = 3
     tokens: int = 4
@@ -35,6 +35,9 @@ class Params:
     part: float = 0.5
     constant: float = 0.5
     alike: float = 0.6
+    near: float = 0.8
+    bands: int = 16
+    hashes: int = 3
 
 
 #: A field with a digit or an at sign, anchored at its start so that no text makes the search slow; runs of blanks; what
@@ -65,19 +68,42 @@ def _lines(docs: DataFrame, p: Params) -> DataFrame:
     return out.select("row", "line", _key(F.col("line")).alias("key"), leaf.alias("leaf"), "tokens")
 
 
+def _copies(docs: DataFrame, found: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
+    """(row, sort) of the rows of docs (row, text), with lines found (row, start, end), that have near copies; equal sorts are one class.
+
+    In each bucket of a band, rows are compared with its least row alone, so that a large class costs no more pairs.
+    """
+    hashes = [F.min(F.least(F.xxhash64("start", F.lit(i)), F.xxhash64("end", F.lit(i)))).alias(f"h{i}") for i in range(p.bands * p.hashes)]
+    bands = F.array(*(F.xxhash64(F.lit(b), *(f"h{i}" for i in range(b * p.hashes, (b + 1) * p.hashes))) for b in range(p.bands)))
+    bands = scratch.save(found.groupBy("row").agg(*hashes).select("row", F.explode(bands).alias("band")), "bands")
+    heads = bands.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
+    heads = scratch.save(heads, "heads")
+    pairs = scratch.save(bands.join(small(heads), "band").where("row <> head").select("row", "head").distinct(), "compared")
+    scratch.drop("bands")
+    some = scratch.save(pairs.select("row").union(pairs.select("head")).distinct(), "some")
+    parts = _lines(docs.join(small(some), "row", "left_semi"), p).select("row", F.explode(F.split("line", " ")).alias("word"))
+    parts = parts.select("row", F.xxhash64("word").alias("part"), (F.length("word") + 1).alias("size"))
+    parts = scratch.save(parts.groupBy("row", "part").agg(F.sum("size").alias("size")), "parts")
+    whole = scratch.save(parts.groupBy("row").agg(F.sum("size").alias("size")), "whole")
+    other = parts.select(F.col("row").alias("head"), "part", F.col("size").alias("other"))
+    both = pairs.join(parts, "row").join(other, ["head", "part"]).groupBy("row", "head").agg(F.sum(F.least("size", "other")).alias("both"))
+    sizes = both.join(whole, "row").join(whole.select(F.col("row").alias("head"), F.col("size").alias("other")), "head")
+    links = sizes.where(F.col("both") >= p.near * (F.col("size") + F.col("other") - F.col("both")))
+    return scratch.save(components(links.select(F.col("row").alias("a"), F.col("head").alias("b")), scratch, "near").select(F.col("node").alias("row"), F.col("component").alias("sort")), "near")
+
+
 def recurring(docs: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame, DataFrame]:
     """Of docs (row, text): (row, key) of all lines of enough tokens, and (key, docs, sorts) of those whose templates
     recur. Rows with one text have one row, and count once."""
-    start = _key(F.substring_index("line", " ", p.depth)).alias("start")
-    found = _lines(docs, p).select("row", "key", "leaf", "tokens", start, F.length("line").alias("size")).groupBy("row", "key", "leaf", "tokens", "start", "size").agg(F.lit(1).alias("one"))
-    row = Window.partitionBy("row")
-    found = found.withColumn("least", F.min("start").over(row))
-    found = found.withColumn("next", F.min(F.when(F.col("start") != F.col("least"), F.col("start"))).over(row))
-    sort = F.when(F.col("start") != F.col("least"), F.col("least")).otherwise(F.col("next"))
-    part = F.col("size") <= p.part * F.sum("size").over(row)
-    rows = scratch.save(found.select("row", "key", "leaf", "tokens", F.when(part, sort).alias("sort")).where(F.col("tokens") >= p.tokens).drop("tokens"), "rows")
-    # documents are counted by (line, sort) before they meet, then sorts by line
-    stats = rows.where("sort is not null").groupBy("key", "leaf", "sort").agg(F.count("*").alias("docs"), F.min("row").alias("row"))
+    ends = [F.xxhash64(F.substring_index("line", " ", n), F.lit(n)).alias(x) for x, n in (("start", p.depth), ("end", -p.depth))]
+    found = _lines(docs, p).select("row", "key", "leaf", "tokens", *ends, F.length("line").alias("size")).groupBy("row", "key", "leaf", "tokens", "start", "end", "size").agg(F.lit(1).alias("one")).drop("one")
+    part = F.col("size") <= p.part * F.sum("size").over(Window.partitionBy("row"))
+    found = scratch.save(found.withColumn("counts", part), "found")
+    near = _copies(docs, found, scratch, p)
+    rows = found.where(F.col("tokens") >= p.tokens).select("row", "key", "leaf", "counts")
+    sorted_ = rows.where("counts").join(small(near), "row", "left").select("row", "key", "leaf", F.coalesce("sort", "row").alias("sort"))
+    # documents are counted by (line, class) before they meet, then classes by line
+    stats = sorted_.groupBy("key", "leaf", "sort").agg(F.count("*").alias("docs"), F.min("row").alias("row"))
     stats = stats.groupBy("key", "leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sorts"), F.min("row").alias("row"))
     stats = scratch.save(stats, "stats")
     leaves = stats.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).where((F.col("lines") > 1) & (F.col("docs") >= p.docs)).select("leaf", "lines")
@@ -95,8 +121,8 @@ def recurring(docs: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame,
     agreed = F.size(F.filter(F.transform("tokens", lambda t, i: F.try_element_at("constants", i) == t), lambda x: x))
     alike = variants.join(template, "leaf").where(agreed >= p.alike * F.size("tokens")).select("key", "leaf")
     alike = scratch.save(alike, "alike")
-    # a template's sorts are those of all its lines, each once
-    merged = rows.where("sort is not null").select("key", "sort").join(small(alike), "key").groupBy("leaf", "sort").agg(F.count("*").alias("docs"))
+    # a template's classes are those of all its lines, each once
+    merged = sorted_.select("key", "sort").join(small(alike), "key").groupBy("leaf", "sort").agg(F.count("*").alias("docs"))
     merged = merged.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sorts"))
     enough = (F.col("docs") >= p.docs) & (F.col("sorts") >= p.docs) & (F.col("sorts") >= p.sorts * F.col("docs"))
     shared = merged.where(enough).join(alike, "leaf").select("key", "docs", "sorts")

@@ -186,6 +186,18 @@ def test_lines(spark, odd):
     assert linedup.drop_lines(odd.limit(0)).count() == 0
 
 
+def test_line_blocks_that_occur_together(spark):
+    rows = []
+    for shared, own, at in ((5, 5, 0), (10, 5, 1000), (10, 2, 2000)):
+        block = [f"{words(6, 100 * shared + own + 7000 + k)}" for k in range(shared)]
+        rows += [(at + i, "\n".join([words(6, at * 50 + 100_000 + i * 20 + k) for k in range(own)] + block)) for i in range(60)]
+    base = [words(6, 900_000 + k) for k in range(20)]
+    rows += [(5000 + i, "\n".join([*base[:i], words(6, 910_000 + i), *base[i + 1 :]])) for i in range(15)]
+    got = {r["doc_id"]: r["_n_dropped"] for r in linedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 5 and got[1000 + i] == 10 and got[2000 + i] == 10 for i in range(60))
+    assert not any(got[5000 + i] for i in range(15))
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(2)
     rows = []
