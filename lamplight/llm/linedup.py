@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamplight.llm.common import Scratch, components, small
@@ -24,15 +24,14 @@ from lamplight.llm.common import Scratch, components, small
 class Params:
     """depth: leading tokens that name a leaf. tokens: fewest of a line that can be dropped. docs: fewest documents, and
     fewest classes of near copies, across which a template recurs. sorts: least share of these classes among the
-    documents. part: of its document's characters, beyond which a line tells nothing: then it is the document that recurs.
-    constant: share of a leaf's distinct lines that agree on a constant token. alike: share of a line's tokens that equal
-    constants of its leaf's template. near: similarity of near copies. bands, hashes: of MinHashes that compare documents."""
+    documents. constant: share of a leaf's distinct lines that agree on a constant token. alike: share of a line's tokens
+    that equal constants of its leaf's template. near: similarity of near copies. bands, hashes: of MinHashes that compare
+    documents."""
 
     depth: int = 3
     tokens: int = 4
     docs: int = 3
     sorts: float = 0.4
-    part: float = 0.5
     constant: float = 0.5
     alike: float = 0.6
     near: float = 0.8
@@ -96,12 +95,11 @@ def recurring(docs: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame,
     """Of docs (row, text): (row, key) of all lines of enough tokens, and (key, docs, sorts) of those whose templates
     recur. Rows with one text have one row, and count once."""
     ends = [F.xxhash64(F.substring_index("line", " ", n), F.lit(n)).alias(x) for x, n in (("start", p.depth), ("end", -p.depth))]
-    found = _lines(docs, p).select("row", "key", "leaf", "tokens", *ends, F.length("line").alias("size")).groupBy("row", "key", "leaf", "tokens", "start", "end", "size").agg(F.lit(1).alias("one")).drop("one")
-    part = F.col("size") <= p.part * F.sum("size").over(Window.partitionBy("row"))
-    found = scratch.save(found.withColumn("counts", part), "found")
+    found = _lines(docs, p).select("row", "key", "leaf", "tokens", *ends).distinct()
+    found = scratch.save(found, "found")
     near = _copies(docs, found, scratch, p)
-    rows = found.where(F.col("tokens") >= p.tokens).select("row", "key", "leaf", "counts")
-    sorted_ = rows.where("counts").join(small(near), "row", "left").select("row", "key", "leaf", F.coalesce("sort", "row").alias("sort"))
+    rows = found.where(F.col("tokens") >= p.tokens).select("row", "key", "leaf")
+    sorted_ = rows.join(small(near), "row", "left").select("row", "key", "leaf", F.coalesce("sort", "row").alias("sort"))
     # documents are counted by (line, class) before they meet, then classes by line
     stats = sorted_.groupBy("key", "leaf", "sort").agg(F.count("*").alias("docs"), F.min("row").alias("row"))
     stats = stats.groupBy("key", "leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sorts"), F.min("row").alias("row"))

@@ -198,6 +198,16 @@ def test_line_blocks_that_occur_together(spark):
     assert not any(got[5000 + i] for i in range(15))
 
 
+def test_lines_that_are_most_of_their_documents(spark):
+    note = words(50, 800_000)
+    rows = [(i, f"{words(12, 810_000 + i)}\n{note}") for i in range(8)] + [(100, note), (101, f"{note} ")]
+    pair = words(50, 820_000)
+    rows += [(200, pair), (201, f"{words(12, 830_000)}\n{pair}")]
+    got = {r["doc_id"]: r["text"] for r in linedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == words(12, 810_000 + i) for i in range(8)) and got[100] == got[101] == ""
+    assert got[200] == pair
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(2)
     rows = []
