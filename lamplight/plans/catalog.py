@@ -339,7 +339,7 @@ def date_range_filter(t, spark):
 
 @query("SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE contains(lower(concat_ws(' ', d.lang, d.source, substr(d.text, 1, 200))), 'the') AND l.quality = 1 GROUP BY d.doc_id")
 def facet_filter(t, spark):
-    hay = timeline.haystack(F.col("lang"), F.col("source"), F.substring("text", 1, 200))
+    hay = timeline.haystack(F.col("lang"), F.col("source"), F.col("text"))
     return t("documents").where(hay.contains("the")).join(t("labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
 
 

@@ -14,3 +14,8 @@ def test_query_agrees_with_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_facets_search_whole_texts(spark):
+    tables = {"documents": spark.createDataFrame([(1, "xx", "s", "z" * 300 + " The end"), (2, "xx", "s", "z" * 300)], "doc_id long, lang string, source string, text string"), "labels": spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")}
+    assert [r["doc_id"] for r in catalog.facet_filter(tables.get, spark).collect()] == [1]
