@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (id) or (id, id) up to which a side may be broadcast: at 32 bytes a row, 64 MB. Beyond it, joins shuffle.
-BROADCAST_ROWS = 2_000_000
-
+#: Bytes up to which a side may be broadcast. Beyond it, joins shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Bytes that a row of a broadcast side takes besides its values.
+ROW_BYTES = 24
 
 _OWN: dict[str, str] = {}  #: temporary folders by application
 
@@ -20,39 +23,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session of one process (tests) gets a temporary folder, removed at its end; a cluster has to name
+    one, for executors wouldn't see each other's files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        app = spark.sparkContext.applicationId
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lamplight-")
-        path = _OWN[app]
+            _OWN[app] = tempfile.mkdtemp(prefix="lamplight-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        path = f"file://{_OWN[app]}"
     return path.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor never costs more than the stage that runs."""
+    """Tables written to the shared folder, so that a lost executor never costs more than the stage that runs. What a result
+    still reads stays until the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
+        self._files(self.root).deleteOnExit(self._path(self.root))
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, path: str):
+        return self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._files(self.root).delete(self._path(self.path(name)), True)
+            self.names.discard(name)
+
+    def clear(self, *kept: str) -> None:
+        """Drops all tables but those kept."""
+        self.drop(*(self.names - set(kept)))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if its counted rows are few enough, else as it is. For written tables, which count cheaply."""
+def small(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The table with a broadcast hint if its rows, counted, times the width of its columns are few enough bytes, else as it
+    is. For written tables, which count cheaply, of columns whose values have about the default width of their types."""
+    rows = size // (df._jdf.schema().defaultSize() + ROW_BYTES)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, size: int = 64 << 20, part: int = 1 << 20) -> DataFrame:
+    """A small table, which may lie in one file of one row group, dealt to all cores for work that is long a row; others as
+    they are read."""
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, held // part + 1))) if held < size else df
+
+
 def block_pairs(members: DataFrame, group: str, member: str, size: str, block: int) -> DataFrame:
     """Deals each group to tasks of two blocks: adds task_i <= task_j and own (the row's block).
 

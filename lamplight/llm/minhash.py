@@ -71,33 +71,39 @@ def _long_word(data: bytes) -> int:
     return total
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, A-Z in lower case, piece by piece."""
-    found, starts, at = [], [], 0
+def word_hashes(data: bytes, space: np.ndarray = _SPACE, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hash and start of each word of UTF-8 bytes, A-Z in lower case, piece by piece; then, for each n of heads, hashes of the
+    first n bytes of the words that are longer. space marks the bytes between words, [\\x20\\x09-\\x0D] by default."""
+    found, starts, begun, at = [], [], [[] for _ in heads], 0
     while at < len(data):
         end = min(at + PIECE, len(data))
         piece = np.frombuffer(data, np.uint8, end - at, at)
-        space = _SPACE[piece]
+        gap = space[piece]
         if end < len(data):
-            if not space.any():
+            if not gap.any():
                 stop = end
-                while stop < len(data) and not _SPACE[data[stop]]:
+                while stop < len(data) and not space[data[stop]]:
                     stop += 1
                 found.append(np.array([_long_word(data[at:stop])], dtype=np.uint64))
                 starts.append(np.array([at]))
+                for n, out in zip(heads, begun, strict=True):
+                    out.append(np.array([_long_word(data[at : at + n])], dtype=np.uint64))
                 at = stop
                 continue
-            keep = len(piece) - int(space[::-1].argmax())
-            end, piece, space = at + keep, piece[:keep], space[:keep]
-        edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+            keep = len(piece) - int(gap[::-1].argmax())
+            end, piece, gap = at + keep, piece[:keep], gap[:keep]
+        edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LOWER[piece] * _POW[: len(piece)], dtype=np.uint64)))
         found.append((total[last] - total[first]) * _INV[first])
         starts.append(first + at)
+        for n, out in zip(heads, begun, strict=True):
+            more = first[last - first > n]
+            out.append((total[more + n] - total[more]) * _INV[more])
         at = end
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return _mix(np.concatenate(found)), np.concatenate(starts)
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in heads))
+    return (_mix(np.concatenate(found)), np.concatenate(starts), *(_mix(np.concatenate(x) + np.uint64(n)) for n, x in zip(heads, begun, strict=True)))
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
