@@ -103,7 +103,7 @@ def word_hashes(data: bytes, space: np.ndarray = _SPACE, heads: tuple[int, ...]
         at = end
     if not found:
         return (np.zeros(0, np.uint64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in heads))
-    return (_mix(np.concatenate(found)), np.concatenate(starts), *(_mix(np.concatenate(x) + np.uint64(n)) for n, x in zip(heads, begun, strict=True)))
+    return (_mix(np.concatenate(found)), np.concatenate(starts), *(_mix(np.concatenate(x)) + np.uint64(n) for n, x in zip(heads, begun, strict=True)))
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

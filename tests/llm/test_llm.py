@@ -2,7 +2,9 @@ import hashlib
 import io
 import math
 import random
+import re
 import zlib
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -213,18 +215,96 @@ def test_block_max_search_is_exact():
     rows = []
     for _ in range(700):
         t = np.sort(r.choice(40, r.integers(1, 6), replace=False))
-        w = r.random(len(t)) + 0.1
-        rows.append((t, w / np.linalg.norm(w)))
-    index = toxicity.Index(toxicity.Params(block=16), [str(i) for i in range(40)], np.ones(40), np.arange(700), r.integers(0, 2, 700), rows)
+        w = r.integers(1, 4, len(t)).astype(float)
+        rows.append((t, (w / np.linalg.norm(w)).astype(np.float32)))
     dense = np.zeros((700, 40))
-    for k, (t, w) in enumerate(index.rows):
+    for k, (t, w) in enumerate(rows):
         dense[k, t] = w
-    for t, w in rows[:80]:
-        s = np.round(dense[:, t] @ w, 12)
-        want = np.lexsort((index.ids, -s))[:25]
-        i, got = index.nearest(t, w, 25)
-        assert np.allclose(got, s[want][: len(got)]) and (len(i) == 25 or (s > 0).sum() == len(i))
-        assert i.tolist() == want[: len(i)].tolist()
+    for common in (0, 8, 40):
+        words = toxicity.Vocabulary(np.arange(40, dtype=np.uint64), np.ones(40))
+        index = toxicity.Index(toxicity.Params(block=16, dense=common), words, np.arange(700), r.integers(0, 2, 700), list(rows))
+        for (t, w), (i, got) in zip(rows[:80], index.nearest(rows[:80], 25), strict=True):
+            s = np.round(dense[:, t] @ w.astype(float), 12)
+            last = np.sort(s)[-25]
+            want = [k for k in np.lexsort((np.arange(700), -s)) if s[k] >= last and s[k] > 0]
+            assert index.ids[i].tolist() == want and np.allclose(got, s[want])
+
+
+def _bag(text):
+    """Counts of words, and of the beginnings of longer ones."""
+    found = re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode())
+    return Counter(found), Counter((n, w[:n]) for n in (4, 5) for w in found if len(w) > n)
+
+
+def test_toxicity_query_is_brute_force(spark):
+    """op8 over sf0.001 against dense vectors, all pairs of texts and examples, and a curve fitted by halving steps."""
+    p = toxicity.Params()
+    docs = {r["doc_id"]: r["text"] for r in common.table(spark, SF, "documents").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in common.table(spark, SF, "labels").collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    bags = {i: _bag(t) for i, t in docs.items()}
+    same = {}
+    for i, y in labels.items():
+        if i in docs:
+            same.setdefault((frozenset(bags[i][0].items()), frozenset(bags[i][1].items())), []).append((i, y))
+    ids = [min(i for i, _ in g) for g in same.values()]
+    y = np.array([np.mean([y for _, y in g]) >= 0.5 for g in same.values()], int)
+    toxic, clean = int(y.sum()), int((1 - y).sum())
+    factor = {}
+    for part in (0, 1):
+        seen = Counter(t for i in ids for t in bags[i][part])
+        bad = Counter(t for i, z in zip(ids, y, strict=True) if z for t in bags[i][part])
+        for t, n in seen.items():
+            a, b = bad[t], n - bad[t]
+            g = 2 * sum(x * math.log(x / (m * q)) for x, m, q in ((a, toxic, n / len(ids)), (b, clean, n / len(ids)), (toxic - a, toxic, 1 - n / len(ids)), (clean - b, clean, 1 - n / len(ids))) if x)
+            tells = a >= 3 and a * clean > 3 * b * toxic and g >= 2 * math.log(len(seen)) + 4
+            if tells or not part:
+                factor[t] = 6.0 if tells else 1.0
+    df = Counter(t for a, b in bags.values() for t in (*a, *b) if t in factor)
+    names = {t: k for k, t in enumerate(factor)}
+
+    def vector(i):
+        v = np.zeros(len(names))
+        for t, n in [*bags[i][0].items(), *bags[i][1].items()]:
+            if t in names:
+                v[names[t]] = (1 + math.log(n)) * (math.log((len(docs) + 1) / (df[t] + 1)) + 0.05) * factor[t]
+        return v / (np.linalg.norm(v) or 1)
+
+    held = np.array([vector(i) for i in ids])
+    base = (toxic + 0.5) / (len(ids) + 1)
+
+    def vote(v, k, without=None):
+        s = held @ v
+        last = np.sort(s)[-k] - 1e-7
+        w = np.where((s >= last) & (s > 0), s, 0) ** 2
+        if without is not None:
+            w[without] = 0
+        return ((w * y).sum() + p.prior * base) / (w.sum() + p.prior)
+
+    x = np.array([vote(held[e], p.k + 1, e) for e in range(len(ids))])
+    z, share = np.log(x / (1 - x)), np.mean(list(labels.values()))
+    each = np.where(y, share / y.mean(), (1 - share) / (1 - y.mean()))
+    loss = lambda c: (each * np.logaddexp(0, np.where(y, -1, 1) * (c[0] + c[1] * z))).sum() + (c[0] ** 2 + (c[1] - 1) ** 2) / 2
+    c, step = (0.0, 1.0), 1.0
+    while step > 1e-7:
+        best = min(((c[0] + i * step, c[1] + j * step) for i in (-1, 0, 1) for j in (-1, 0, 1)), key=loss)
+        c, step = (best, step) if best != c else (c, step / 2)
+    got = {r["doc_id"]: r for r in queries.op8_toxicity_neighbours(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for i in docs:
+        v = vote(vector(i), p.k)
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-c[0] - c[1] * math.log(v / (1 - v)))), abs=2e-4)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i]["predicted"] == (got[i]["score"] >= 0.5)
+        assert bool(got[i]["evidence"]) == bool((held @ vector(i)).max() > 0)
+
+
+def test_toxicity_scores_go_by_text_alone(spark):
+    rows = [(i, words(12, i % 50) + (" vile rotten" if i % 50 < 10 else "")) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 50 < 10)) for i in range(200)], "doc_id long, toxic int")
+    one = toxicity.score(docs, labels).toPandas()
+    other = toxicity.score(docs.repartition(5), labels).toPandas().set_index("doc_id")["score"]
+    assert one.groupby(one["doc_id"] % 50)["score"].nunique().max() == 1
+    assert (other[one["doc_id"]].to_numpy() == one["score"].to_numpy()).all()
+    assert (one["predicted"] == (one["doc_id"] % 50 < 10)).all()
 
 
 def test_toxicity(spark, odd):
