@@ -72,10 +72,10 @@ class Scratch:
         self.drop(*(self.names - set(kept)))
 
 
-def small(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
-    """The table with a broadcast hint if its rows, counted, times the width of its columns are few enough bytes, else as it
-    is. For written tables, which count cheaply, of columns whose values have about the default width of their types."""
-    rows = size // (df._jdf.schema().defaultSize() + ROW_BYTES)
+def small(df: DataFrame, width: int | None = None, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The table with a broadcast hint if its rows, counted, are few enough bytes, else as it is. width: bytes of a row, those
+    of its types by default. For written tables, which count cheaply."""
+    rows = size // ((width or df._jdf.schema().defaultSize()) + ROW_BYTES)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -24,7 +24,9 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"), 100).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = warc.round_trip(table(spark, sf_dir, "pages"), 100)
+    sound = F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat_ws(" ", "file", "offset", "error")))
+    return out.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,16 +100,26 @@ def test_warc_reads_what_it_writes():
 
 def test_warc_tells_damage():
     d = b"y" * 500
-    good = warc.record("response", "<1>", "u", d, hashlib.sha256(d).hexdigest())
+    good = warc.record("response", "<1>", "u", d, hashlib.sha256(d).hexdigest(), page_id=7)
     assert "digest" in next(warc.read(io.BytesIO(warc.record("response", "<1>", "u", d, "0" * 64))))["error"]
     assert list(warc.read(io.BytesIO(good + good[:-30])))[-1]["error"]
     assert list(warc.read(io.BytesIO(b"not gzip")))[0]["error"]
     assert list(warc.read(io.BytesIO(b""))) == []
+    plain = zlib.decompress(good, 31)
+    pack = lambda x: (lambda c: c.compress(x) + c.flush())(zlib.compressobj(6, zlib.DEFLATED, 31))
+    noise = random.Random(4).randbytes(3000)
+    torn = bytearray(warc.record("response", "<2>", "u", noise, hashlib.sha256(noise).hexdigest()))
+    torn[700:760] = bytes(60)
+    for bad in (pack(plain.replace(b"Content-Length: ", b"X-Length: ")), pack(b"no record"), pack(plain[:-9]), bytes(torn), b"between", good[:40]):
+        for chunk in (5, 300, 1 << 16):
+            rows = list(warc.read(io.BytesIO(good + bad + good + good), chunk))
+            assert [r["page_id"] for r in rows if r["error"] is None] == [7, 7, 7] and len(rows) == 4 and rows[1]["error"]
+            assert [r["offset"] for r in rows if r["error"] is None] == [0, len(good + bad), len(good + bad + good)]
 
 
 def test_warc_pages(spark):
     big = "é" * 60
-    pages = spark.createDataFrame([(3, "u", big), (1, None, big), (2, "u", "tiny"), (4, "u", "tiny"), (5, "u", None), (None, "u", big), (6, "a\r\nb", "")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(3, "u", big, 0), (1, None, big, 0), (2, "u", "tiny", 0), (4, "u", "tiny", 0), (5, "u", None, 0), (None, "u", big, 0), (6, "a\r\nb", "", 0)], "page_id long, url string, html string, digest int")
     got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
     assert len(got) == 7 and all(r["error"] is None for r in got.values())
     assert got[3]["record_type"] == "revisit" and got[3]["refers_to"] == 1 and got[3]["payload_bytes"] == 120 and got[1]["refers_to"] is None
@@ -117,6 +127,25 @@ def test_warc_pages(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_pages(spark):
+    a, b = "x" * 150, "y" * 150
+    pages = spark.createDataFrame([(1, "u", a), (1, "v", b), (1, "u", a), (2, "u", a), (2, "u", a), (3, "u", b)], "page_id long, url string, html string")
+    got = warc.round_trip(pages).collect()
+    assert sorted((r["page_id"], r["payload_digest"] == hashlib.sha256(a.encode()).hexdigest(), r["record_type"], r["refers_to"] or 0) for r in got) == [(1, False, "response", 0), (1, True, "response", 0), (1, True, "response", 0), (2, True, "revisit", 1), (2, True, "revisit", 1), (3, False, "revisit", 1)]
+    assert len({r["record_id"] for r in got}) == 6 and all(r["error"] is None for r in got)
+
+
+def test_warc_tells_false_revisits(spark):
+    d = b"z" * 200
+    sha = hashlib.sha256(d).hexdigest()
+    raw = warc.record("response", "<1>", "u", d, sha, page_id=1)
+    raw += b"".join(warc.record("revisit", f"<{i}>", "u", None, digest, to, i, n) for i, digest, to, n in ((2, sha, "<1>", 200), (3, "0" * 64, "<1>", 200), (4, sha, "<1>", 199), (5, sha, "<9>", 200)))
+    rows = [{"file": "f"} | r for r in warc.read(io.BytesIO(raw))]
+    back = spark.createDataFrame([tuple(r[c] for c in warc.FIELDS) for r in rows], warc.SCHEMA)
+    got = {r["page_id"]: (r["refers_to"], r["error"]) for r in warc.resolved(back).collect()}
+    assert got[1] == (None, None) and got[2] == (1, None) and "digest" in got[3][1] and "length" in got[4][1] and "missing" in got[5][1]
+
+
 def test_mixing(spark, odd):
     rows = [(i, words(5 + i % 40, i), "en", "big" if i % 3 else ["a", "b", None][i % 9 // 3], None, "x") for i in range(3000)]
     docs = spark.createDataFrame(rows, DOC)
