@@ -58,7 +58,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media.media_column(table(spark, sf_dir, "documents"), keep_media=False)
+    out = media.round_trip(table(spark, sf_dir, "documents"))
     ranges = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("+", k["offset"].cast("string"), k["size"].cast("string"))), ",")
     feature = F.concat_ws("|", "codec", F.format_string("%.3f", "duration_s"), F.col("samples").cast("string"), ranges)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
