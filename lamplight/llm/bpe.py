@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts of at most one chunk are encoded where they lie. Longer ones become overlapping chunks that are pre-tokenised in
-parallel; only boundaries near the overlaps travel. A pre-token's extent depends on the text from its start alone, so
-once two neighbours share a boundary they agree from there: each text's chunks are stitched at the first such boundary,
-the pieces between stitches are encoded in parallel, and ids are joined in order. Neighbours that never agree within an
-overlap are encoded together. Decoding concatenates the raw bytes of the ids.
+Every text is pre-tokenised in overlapping chunks. A pre-token's extent depends on the text from its start alone, so once
+two neighbours share a boundary they agree from there: chunks are stitched at the first such boundary, and the pieces
+between boundaries are encoded. Neighbours that never agree within an overlap are pre-tokenised together. Texts above a size
+are dealt out first, in overlapping parts that are stitched the same way: parts find their boundaries in parallel, only those
+near the overlaps travel, what lies between stitches is encoded in parallel, and ids are joined in order. Decoding
+concatenates the raw bytes of the ids.
 """
 
 from __future__ import annotations
@@ -19,23 +20,25 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Scratch
+from lamplight.llm.common import Scratch, spread
 
 
 @dataclass(frozen=True)
 class Params:
     """ranks: a rank file (base64 token, rank); pattern: of pre-tokens, without lookbehind. chunk: characters of a chunk;
-    overlap: characters it goes on into the next. unsure: last boundaries of a chunk that more text might move."""
+    overlap: characters it goes on into the next. unsure: last boundaries of a chunk that more text might move. part:
+    characters from which a text is dealt out, and of a part. known: pre-tokens whose ids a worker remembers."""
 
     ranks: str
     pattern: str
-    chunk: int = 32768
-    overlap: int = 1024
+    chunk: int = 4096
+    overlap: int = 256
     unsure: int = 3
+    part: int = 32768
+    known: int = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,9 +50,9 @@ class Codec:
     """Encodes and decodes with one rank file."""
 
     def __init__(self, p: Params):
-        self.ranks, self.split, self.whole = load_ranks(p.ranks), regex.compile(p.pattern), 4 * p.chunk
+        self.p, self.ranks, self.split = p, load_ranks(p.ranks), regex.compile(p.pattern)
         self.bytes = {rank: token for token, rank in self.ranks.items()}
-        self.fast = tiktoken.Encoding("ranks", pat_str=p.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token: the lowest-ranked neighbours merge first, the left of equals first.
@@ -80,21 +83,45 @@ class Codec:
             i = after[i]
         return tuple(out)
 
-    def encode_pieces(self, text: str) -> list[int]:
-        """encode() with merge(), for texts of any length and for tests."""
-        known: dict[str, tuple[int, ...]] = {}
-        out: list[int] = []
-        for m in self.split.finditer(text):
-            piece = m.group()
-            ids = known.get(piece) or self.merge(piece.encode())
-            if len(piece) <= 64 and len(known) < 10_000:
-                known[piece] = ids
-            out += ids
-        return out
+    def starts(self, text: str) -> list[int]:
+        """Starts of the pre-tokens of a text, and its end, by one search."""
+        return [m.start() for m in self.split.finditer(text)] + [len(text)]
+
+    def boundaries(self, text: str) -> list[int]:
+        """starts() by chunks."""
+        size, over, n = self.p.chunk, self.p.overlap, len(text)
+        if n <= size + over:
+            return self.starts(text)
+        found, near = [], []
+        for begin in range(0, n, size):
+            chunk = [begin + b for b in self.starts(text[begin : begin + size + over])]
+            sure = chunk[: -self.p.unsure] if begin + size + over < n else chunk
+            found.append(sure)
+            near.append((begin, [b for b in sure if b <= begin + over], [b for b in sure if b >= begin + size]))
+        placed = stitch(near)
+        firsts = [k for k, (group, _) in enumerate(placed) if group == k]
+        out = []
+        for k, after in zip(firsts, [*firsts[1:], None], strict=True):
+            begin, stop = placed[k][1], n if after is None else placed[after][1]
+            # chunks that didn't agree are searched together; a chunk may know sure boundaries beyond its group's end
+            own = found[k] if after == k + 1 or after is None and k == len(placed) - 1 else [begin + b for b in self.starts(text[begin:stop])]
+            out += [b for b in own if begin <= b < stop]
+        return [*out, n]
 
     def encode(self, text: str) -> list[int]:
-        """The library's compiled encoder where its pattern's backtracking has a bound, merge() beyond."""
-        return self.fast.encode_ordinary(text) if len(text) <= self.whole else self.encode_pieces(text)
+        known, out = self.known, []
+        if len(known) > self.p.known:
+            known.clear()
+        at = self.boundaries(text)
+        for a, b in zip(at, at[1:], strict=False):
+            piece = text[a:b]
+            ids = known.get(piece)
+            if ids is None:
+                ids = self.merge(piece.encode())
+                if b - a <= 64:
+                    known[piece] = ids
+            out += ids
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -105,11 +132,6 @@ def codec(p: Params) -> Codec:
     return Codec(p)
 
 
-def boundaries(text: str, pattern: str) -> list[int]:
-    """Starts of the pre-tokens of a text, and its end."""
-    return [m.start() for m in regex.finditer(pattern, text)] + [len(text)]
-
-
 def stitch(chunks: list[tuple[int, list[int], list[int]]]) -> list[tuple[int, int]]:
     """(group, start) of each chunk, in order: its group's first chunk, and where in the text the group's pieces begin.
 
@@ -126,7 +148,7 @@ def stitch(chunks: list[tuple[int, list[int], list[int]]]) -> list[tuple[int, in
     return out
 
 
-_OUT = "doc_id long, text_key long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+_OUT = "doc_id long, text_key binary, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
 
 
 def _digest(ids: list[int], decoded: bytes) -> tuple[str, str]:
@@ -151,23 +173,28 @@ def _short(docs: DataFrame, p: Params, keep_ids: bool) -> DataFrame:
 
 def _long(docs: DataFrame, p: Params, keep_ids: bool) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "bpe")
-    starts = F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(p.chunk))
-    chunks = docs.select("doc_id", "text_key", "text", F.posexplode(starts).alias("k", "begin"))
-    chunks = chunks.select("doc_id", "text_key", "k", "begin", F.expr(f"substring(text, begin + 1, {p.chunk + p.overlap})").alias("chunk"))
     key = ["doc_id", "text_key"]
-    chunks = scratch.save(chunks.distinct().repartition(*key, "k"), "chunks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = batch.column(2)[row].as_py()
+                for k, begin in enumerate(range(0, len(text), p.part)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([k], pa.int32()), pa.array([begin], pa.int64()), pa.array([text[begin : begin + p.part + p.overlap]])], ["doc_id", "text_key", "k", "begin", "chunk"])
+
+    once = docs.groupBy(*key).agg(F.first("text").alias("text"))
+    chunks = scratch.save(once.mapInArrow(cut, "doc_id long, text_key binary, k int, begin long, chunk string").repartition(*key, "k"), "chunks")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, tails = [], []
+            heads, tails, c = [], [], codec(p)
             for begin, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                found = boundaries(text, p.pattern)
-                sure = found[: -p.unsure]
+                sure = c.boundaries(text)[: -p.unsure]
                 heads.append([begin + b for b in sure if b <= p.overlap])
-                tails.append([begin + b for b in sure if b >= p.chunk])
+                tails.append([begin + b for b in sure if b >= p.part])
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in range(4)), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "text_key", "k", "begin", "head", "tail"])
 
-    near = chunks.mapInArrow(edges, "doc_id long, text_key long, k int, begin int, head array<long>, tail array<long>")
+    near = chunks.mapInArrow(edges, "doc_id long, text_key binary, k int, begin long, head array<long>, tail array<long>")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
@@ -179,20 +206,20 @@ def _long(docs: DataFrame, p: Params, keep_ids: bool) -> DataFrame:
         stops = dict(zip(order, [*(nexts[g] for g in order[1:]), -1], strict=True))
         return out.assign(stop=[stops[g] for g in out["group"]])
 
-    placed = near.groupBy(*key).applyInPandas(place, "doc_id long, text_key long, k int, group int, start long, stop long")
+    placed = near.groupBy(*key).applyInPandas(place, "doc_id long, text_key binary, k int, group int, start long, stop long")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text")) & (F.col("k") == F.col("_k"))
     joined = chunks.join(placed.withColumnsRenamed({"doc_id": "_doc", "text_key": "_text", "k": "_k"}), same).drop("_doc", "_text", "_k")
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, c = pdf.sort_values("k"), codec(p)
         begin = int(pdf["begin"].iloc[0])
-        text = "".join([*(x[: p.chunk] for x in pdf["chunk"].iloc[:-1]), pdf["chunk"].iloc[-1]])
+        text = "".join([*(x[: p.part] for x in pdf["chunk"].iloc[:-1]), pdf["chunk"].iloc[-1]])
         start, stop = int(pdf["start"].iloc[0]), int(pdf["stop"].iloc[0])
         ids = c.encode(text[start - begin : None if stop < 0 else stop - begin])
         row = pdf.iloc[:1][["doc_id", "text_key", "group"]].assign(part_ids=[ids], decoded=[c.decode(ids)])
         return row
 
-    parts = joined.groupBy(*key, "group").applyInPandas(encode, "doc_id long, text_key long, group int, part_ids array<int>, decoded binary")
+    parts = joined.groupBy(*key, "group").applyInPandas(encode, "doc_id long, text_key binary, group int, part_ids array<int>, decoded binary")
     parts = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("group", "part_ids", F.hex("decoded").alias("decoded")))).alias("parts"))
     ids = F.flatten(F.transform("parts", lambda x: x["part_ids"]))
     decoded = F.unhex(F.array_join(F.transform("parts", lambda x: x["decoded"]), ""))
@@ -207,9 +234,9 @@ def encode(docs: DataFrame, p: Params, keep_ids: bool = True) -> DataFrame:
     kept. An empty table gives none. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("text_key", F.xxhash64("text"))
-    longer = F.char_length("text") > p.chunk
-    short = _short(docs.where(~longer), p, keep_ids)
+    longer = F.char_length("text") > p.part
+    docs = docs.withColumn("text_key", F.when(longer, F.unhex(F.md5(F.encode("text", "UTF-8")))))
+    short = _short(spread(docs.where(~longer)), p, keep_ids)
     big = docs.where(longer)
     found = _long(big, p, keep_ids).withColumnsRenamed({"doc_id": "_doc", "text_key": "_text"})
     rows = big.select("doc_id", "text_key").join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text"))).drop("_doc", "_text")

@@ -3,6 +3,7 @@ import io
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from dataclasses import replace
@@ -360,15 +361,26 @@ def test_bpe_is_the_library(spark, odd):
     parts = ["a", " ", "  ", "\n", "'", "ll", "é", "12", "!!", "　", "😀"]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.choice([0, 1, 5, 99, 101, 500, 1500])))) for i in range(120)]
     rows += [(999, None), (1000, "a" * 3000), (1001, " " * 3000), (1002, "'ll" * 700)]
-    codec = bpe.Codec(p)
-    for params in (p, replace(p, chunk=100, overlap=24)):
+    for params in (p, replace(p, chunk=100, overlap=24, part=400), replace(p, chunk=64, overlap=8, known=10)):
         got = {x["doc_id"]: x for x in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), params).collect()}
         assert len(got) == len(rows)
+        codec = bpe.Codec(params)
         for i, t in rows:
             ids, a, b = _expected(t, enc)
             assert (got[i]["ids"], got[i]["ids_sha256"], got[i]["decoded_sha256"], got[i]["n_tokens"]) == (ids, a, b, len(ids))
-            assert codec.encode_pieces(t or "") == ids
-    assert bpe.encode(odd, replace(p, chunk=500, overlap=64)).count() == odd.count() and bpe.encode(odd.limit(0), p).count() == 0
+            assert codec.boundaries(t or "") == codec.starts(t or "")
+    assert bpe.encode(odd, replace(p, chunk=500, overlap=64, part=2000)).count() == odd.count() and bpe.encode(odd.limit(0), p).count() == 0
+
+
+def test_bpe_query_is_the_library(spark):
+    p = queries.tokenizer()
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(p.ranks), special_tokens={})
+    docs = {r["doc_id"]: r["text"] for r in common.table(spark, SF, "documents").collect()}
+    got = {r["doc_id"]: r for r in queries.op9_bpe_round_trip(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        ids, a, b = _expected(t, enc)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), a, b)
 
 
 def test_media(spark, odd):
@@ -381,10 +393,47 @@ def test_media(spark, odd):
     for bad in (whole[:-1], whole[:40], b"\0\0\0\4free"):
         with pytest.raises(media.Broken):
             media.describe(bad)
-    got = {r["doc_id"]: r for r in media.media_column(odd).collect() if r["doc_id"] is not None}
+    got = {r["doc_id"]: r for r in media.round_trip(odd).collect() if r["doc_id"] is not None}
     assert got[4]["payload_bytes"] == got[5]["payload_bytes"] == 64 and got[4]["n_bytes"] == 0 and got[11]["payload_bytes"] == 128
     assert got[1]["media_sha256"] == got[2]["media_sha256"] and got[5]["tail_crc32"] == zlib.crc32(bytes(64))
-    assert media.media_column(odd.limit(0)).count() == 0
+    assert media.round_trip(odd).count() == odd.count() and media.round_trip(odd.limit(0)).count() == 0
+
+
+def test_media_query_is_brute_force(spark):
+    got = {r["doc_id"]: r for r in queries.op10_media_boxes(spark, SF).collect()}
+    docs = common.table(spark, SF, "documents").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        raw, r = (d["text"] or "").encode(), got[d["doc_id"]]
+        padded = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        whole = media.store(padded)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(whole), hashlib.sha256(whole).hexdigest())
+        at = whole.index(padded)
+        keys = ",".join(f"{at + k}+64" for k in range(0, len(padded), 1024))
+        assert r["feature"] == f"raw8|{len(padded) // 64 / 1000:.3f}|{len(padded) // 64}|{keys}"
+
+
+def test_media_fragments():
+    """Two fragments of a track without samples of its own: defaults by track, by fragment and by sample."""
+    full = lambda kind, flags, *values: media._full(kind, struct.pack(f">{len(values)}I", *values), flags=flags)
+    trak = media._box(b"trak", media._full(b"tkhd", struct.pack(">5I", 0, 0, 5, 0, 0)), media._box(b"mdia", media._full(b"mdhd", struct.pack(">4I", 0, 0, 100, 0))))
+    head = media._box(b"moov", trak, media._box(b"mvex", full(b"trex", 0, 5, 1, 7, 10, 0x10000)))
+
+    def moof(n, offset):
+        return media._box(b"moof", media._box(b"traf", full(b"tfhd", 0x20000, 5), full(b"trun", 0x5, n, offset, 0)))
+
+    one = moof(3, len(moof(3, 0)) + 8) + media._box(b"mdat", bytes(range(30)))
+    traf = lambda at: media._box(b"moof", media._box(b"traf", full(b"tfhd", 0x20008, 5, 9), full(b"trun", 0x601, 2, at, 4, 0x10000, 6, 0)))
+    two = traf(len(traf(0)) + 8) + media._box(b"mdat", bytes(range(50, 60)))
+    data = head + one + two
+    t = media.tracks(data)[0]
+    assert t["sizes"].tolist() == [10, 10, 10, 4, 6] and t["duration"] == 3 * 7 + 2 * 9
+    assert media.payload(data, t) == bytes(range(30)) + bytes(range(50, 60))
+    assert [data[a : a + n] for a, n in t["keys"].tolist()] == [bytes(range(10)), bytes(range(54, 60))]
+    for bad in (one, head + media._box(b"moof", media._box(b"traf", full(b"trun", 0, 1))), head + moof(3, 10**6), head + media._box(b"moof", media._box(b"traf", full(b"tfhd", 0, 6)))):
+        with pytest.raises(media.Broken):
+            media.tracks(bad)
 
 
 def test_stages(spark):
