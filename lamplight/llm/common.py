@@ -1,4 +1,4 @@
-"""What the operators share: tables, shared scratch space, block pairs and connected components."""
+"""What the operators share: tables, shared scratch space, free names and connected components."""
 
 from __future__ import annotations
 
@@ -72,6 +72,17 @@ class Scratch:
         self.drop(*(self.names - set(kept)))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of the table, in any case, has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, width: int | None = None, size: int = BROADCAST_BYTES) -> DataFrame:
     """The table with a broadcast hint if its rows, counted, are few enough bytes, else as it is. width: bytes of a row, those
     of its types by default. For written tables, which count cheaply."""
@@ -86,20 +97,8 @@ def spread(df: DataFrame, size: int = 64 << 20, part: int = 1 << 20) -> DataFram
     return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, held // part + 1))) if held < size else df
 
 
-def block_pairs(members: DataFrame, group: str, member: str, size: str, block: int) -> DataFrame:
-    """Deals each group to tasks of two blocks: adds task_i <= task_j and own (the row's block).
-
-    A group of n rows has ceil(n / block) blocks by hash of the member. Any two members meet in a task, none holds
-    more than about two blocks, and a row is repeated once per block of its group.
-    """
-    blocks = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    out = members.withColumn("own", F.pmod(F.xxhash64(member), blocks).cast("int"))
-    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return out.withColumn("task_i", F.least("own", "_other")).withColumn("task_j", F.greatest("own", "_other")).drop("_other")
-
-
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, component) for each node of edges (a, b), longs: the smallest node reachable.
+    """(node, component) for each node of edges (a, b), longs or binaries: the smallest node reachable.
 
     Alternating large-star and small-star steps until the edges are stars. Minima are aggregates with map-side
     combination and joins, so that a node with very many edges is split; each round is written to the shared folder.

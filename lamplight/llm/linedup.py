@@ -12,29 +12,32 @@ over how lines begin and end find whom to compare.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Scratch, components, small
+from lamplight.llm.common import Scratch, components, free, small
 
 
 @dataclass(frozen=True)
 class Params:
     """depth: leading tokens that name a leaf. tokens: fewest of a line that can be dropped. docs: fewest documents, and
-    fewest classes of near copies, across which a template recurs. sorts: least share of these classes among the
-    documents. constant: share of a leaf's distinct lines that agree on a constant token. alike: share of a line's tokens
-    that equal constants of its leaf's template. near: similarity of near copies. bands, hashes: of MinHashes that compare
-    documents."""
+    fewest classes of near copies, across which a template recurs. sorts: least percentage of these classes among the
+    documents; it keeps lines of a large group of near copies of which a few were taken for classes of their own. constant:
+    percentage of a leaf's distinct lines that agree on a constant token. alike: percentage of a line's tokens that equal
+    constants of its leaf's template. near: percentage of words that near copies share; their lines, counted, differ by half at
+    most, so that a notice alone is no near copy of a page that holds it. bands, hashes: of MinHashes that find documents to
+    compare."""
 
     depth: int = 3
     tokens: int = 4
     docs: int = 3
-    sorts: float = 0.4
-    constant: float = 0.5
-    alike: float = 0.6
-    near: float = 0.8
+    sorts: int = 40
+    constant: int = 50
+    alike: int = 60
+    near: int = 80
     bands: int = 16
     hashes: int = 3
 
@@ -42,6 +45,18 @@ class Params:
 #: A field with a digit or an at sign, anchored at its start so that no text makes the search slow; runs of blanks; what
 #: needs either pattern.
 _VARIABLE, _SPACE, _ODD = r"(^|[ \t\x0b-\r])[^ \t\x0b-\r0-9@]*+[0-9@][^ \t\x0b-\r]*+", r"[ \t\x0b-\r]+", r"[0-9@\t\x0b-\r]|  "
+PRIME = (1 << 31) - 1
+
+
+def factors(p: Params) -> list[tuple[int, int]]:
+    """(a, b) of each MinHash (a * x + b) mod PRIME: a multiplicative generator's numbers, a under 2 ** 30 so that no product
+    with 32 bits overflows."""
+    out, x = [], 1
+    for _ in range(p.bands * p.hashes):
+        a = x = x * 48271 % PRIME
+        b = x = x * 48271 % PRIME
+        out.append((a >> 1 | 1, b))
+    return out
 
 
 def masked(line: Column) -> Column:
@@ -50,56 +65,71 @@ def masked(line: Column) -> Column:
     return F.trim(F.when(line.rlike(_ODD), plain).otherwise(line))
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
 def _key(line: Column) -> Column:
     return F.substring(F.md5(line.cast("binary")), 1, 24)
 
 
+def _number(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _affine(a: int, b: int) -> Callable[[Column], Column]:
+    return lambda x: (x * a + b) % PRIME
+
+
 def _tokens(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _lines(docs: DataFrame, p: Params) -> DataFrame:
-    """(row, line, key, leaf, tokens) of each line of docs (row, text) that has a token; line is masked."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(row, at, line, tokens) of each line of docs (row, text) that has a token; line is masked, at its place."""
     # masked within the generator: filters on its output don't mask again
-    out = docs.select("row", F.explode(F.transform(F.split("text", "\n"), lambda x: masked(x))).alias("line")).where("line <> ''")
-    out = out.withColumn("tokens", _tokens(F.col("line")))
-    leaf = _key(F.concat_ws(" ", F.col("tokens").cast("string"), F.substring_index("line", " ", p.depth)))
-    return out.select("row", "line", _key(F.col("line")).alias("key"), leaf.alias("leaf"), "tokens")
+    out = docs.select("row", F.posexplode(F.transform(F.split("text", "\n"), lambda x: masked(x))).alias("at", "line")).where("line <> ''")
+    return out.withColumn("tokens", _tokens(F.col("line")))
 
 
 def _copies(docs: DataFrame, found: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
-    """(row, sort) of the rows of docs (row, text), with lines found (row, start, end), that have near copies; equal sorts are one class.
+    """(row, sort) of the rows of docs (row, text), with lines found (row, x, y), that have near copies; equal sorts are one
+    class.
 
     In each bucket of a band, rows are compared with its least row alone, so that a large class costs no more pairs.
     """
-    hashes = [F.min(F.least(F.xxhash64("start", F.lit(i)), F.xxhash64("end", F.lit(i)))).alias(f"h{i}") for i in range(p.bands * p.hashes)]
-    bands = F.array(*(F.xxhash64(F.lit(b), *(f"h{i}" for i in range(b * p.hashes, (b + 1) * p.hashes))) for b in range(p.bands)))
-    bands = scratch.save(found.groupBy("row").agg(*hashes).select("row", F.explode(bands).alias("band")), "bands")
-    heads = bands.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    heads = scratch.save(heads, "heads")
-    pairs = scratch.save(bands.join(small(heads), "band").where("row <> head").select("row", "head").distinct(), "compared")
-    scratch.drop("bands")
+    ends = found.groupBy("row").agg(F.collect_set("x").alias("x"), F.collect_set("y").alias("y"), F.count("*").alias("lines")).select("row", "lines", F.array_union("x", "y").alias("x"))
+    least = [F.array_min(F.transform("x", _affine(a, b))) for a, b in factors(p)]
+    hashed = ends.select("row", "lines", F.array(*least).alias("h"))
+    band = F.array(*(F.struct(F.lit(k).alias("band"), *(F.col("h")[k * p.hashes + i].alias(f"h{i}") for i in range(p.hashes))) for k in range(p.bands)))
+    bands = scratch.save(hashed.select("row", "lines", F.explode(band).alias("b")).select("row", "lines", "b.*"), "bands")
+    on = [c for c in bands.columns if c not in ("row", "lines")]
+    heads = bands.groupBy(*on).agg(F.min(F.struct("row", "lines")).alias("h"), F.count("*").alias("n")).where("n > 1")
+    heads = scratch.save(heads.select(*on, F.col("h.row").alias("head"), F.col("h.lines").alias("others")), "heads")
+    pairs = bands.join(small(heads), on).where((F.col("row") != F.col("head")) & (3 * F.least("lines", "others") >= 2 * F.greatest("lines", "others")))
+    pairs = scratch.save(pairs.select("row", "head").distinct(), "compared")
     some = scratch.save(pairs.select("row").union(pairs.select("head")).distinct(), "some")
-    parts = _lines(docs.join(small(some), "row", "left_semi"), p).select("row", F.explode(F.split("line", " ")).alias("word"))
-    parts = parts.select("row", F.xxhash64("word").alias("part"), (F.length("word") + 1).alias("size"))
+    word = F.explode(F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))
+    parts = docs.join(small(some, 16), "row", "left_semi").distinct().select("row", word.alias("word"))
+    parts = parts.select("row", F.unhex(F.substring(F.md5(F.encode("word", "UTF-8")), 1, 24)).alias("part"), (F.length("word") + 1).cast("long").alias("size"))
     parts = scratch.save(parts.groupBy("row", "part").agg(F.sum("size").alias("size")), "parts")
     whole = scratch.save(parts.groupBy("row").agg(F.sum("size").alias("size")), "whole")
     other = parts.select(F.col("row").alias("head"), "part", F.col("size").alias("other"))
     both = pairs.join(parts, "row").join(other, ["head", "part"]).groupBy("row", "head").agg(F.sum(F.least("size", "other")).alias("both"))
     sizes = both.join(whole, "row").join(whole.select(F.col("row").alias("head"), F.col("size").alias("other")), "head")
-    links = sizes.where(F.col("both") >= p.near * (F.col("size") + F.col("other") - F.col("both")))
+    links = sizes.where(100 * F.col("both") >= p.near * (F.col("size") + F.col("other") - F.col("both")))
     return scratch.save(components(links.select(F.col("row").alias("a"), F.col("head").alias("b")), scratch, "near").select(F.col("node").alias("row"), F.col("component").alias("sort")), "near")
 
 
 def recurring(docs: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Of docs (row, text): (row, key) of all lines of enough tokens, and (key, docs, sorts) of those whose templates
+    """Of docs (row, text): (row, at, key) of all lines of enough tokens, and (key, docs, sorts) of those whose templates
     recur. Rows with one text have one row, and count once."""
-    ends = [F.xxhash64(F.substring_index("line", " ", n), F.lit(n)).alias(x) for x, n in (("start", p.depth), ("end", -p.depth))]
-    found = _lines(docs, p).select("row", "key", "leaf", "tokens", *ends).distinct()
-    found = scratch.save(found, "found")
+    start, leaf = F.substring_index("line", " ", p.depth), F.concat_ws(" ", F.col("tokens").cast("string"), F.substring_index("line", " ", p.depth))
+    found = _lines(docs).select("row", "at", _key(F.col("line")).alias("key"), _key(leaf).alias("leaf"), "tokens", _number(start).alias("x"), _number(F.substring_index("line", " ", -p.depth)).alias("y"))
+    found = scratch.save(found.distinct(), "found")
     near = _copies(docs, found, scratch, p)
-    rows = found.where(F.col("tokens") >= p.tokens).select("row", "key", "leaf")
-    sorted_ = rows.join(small(near), "row", "left").select("row", "key", "leaf", F.coalesce("sort", "row").alias("sort"))
+    rows = found.where(F.col("tokens") >= p.tokens)
+    sorted_ = rows.select("row", "key", "leaf").distinct().join(small(near, 32), "row", "left").select("row", "key", "leaf", F.coalesce("sort", "row").alias("sort"))
     # documents are counted by (line, class) before they meet, then classes by line
     stats = sorted_.groupBy("key", "leaf", "sort").agg(F.count("*").alias("docs"), F.min("row").alias("row"))
     stats = stats.groupBy("key", "leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sorts"), F.min("row").alias("row"))
@@ -109,43 +139,46 @@ def recurring(docs: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame,
 
     # the distinct lines of leaves that may generalise, each read again from one document
     wanted = scratch.save(stats.join(small(leaves.select("leaf")), "leaf", "left_semi").select("row", "key", "leaf"), "wanted")
-    again = _lines(docs.join(small(wanted.select("row").distinct(), 500_000), "row", "left_semi"), p).where(F.col("tokens") > p.depth).select("row", "key", "line")
-    again = again.join(wanted, ["row", "key"])
-    variants = scratch.save(again.groupBy("leaf", "key").agg(F.first("line").alias("line")).select("leaf", "key", F.split("line", " ").alias("tokens")), "variants")
+    again = scratch.save(wanted.select("row").distinct(), "again")
+    again = _lines(docs.join(small(again, 16), "row", "left_semi")).where(F.col("tokens") > p.depth).select("row", _key(F.col("line")).alias("key"), "line")
+    variants = again.join(wanted, ["row", "key"]).groupBy("leaf", "key").agg(F.min("line").alias("line"))
+    variants = scratch.save(variants.select("leaf", "key", F.split("line", " ").alias("tokens")), "variants")
     votes = variants.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    votes = votes.join(leaves, "leaf").where(F.col("n") >= p.constant * F.col("lines"))
+    votes = votes.join(leaves, "leaf").where(100 * F.col("n") >= p.constant * F.col("lines"))
     best = votes.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("n")).alias("n"), "token"))["token"].alias("token"))
     template = best.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("constants"))
     agreed = F.size(F.filter(F.transform("tokens", lambda t, i: F.try_element_at("constants", i) == t), lambda x: x))
-    alike = variants.join(template, "leaf").where(agreed >= p.alike * F.size("tokens")).select("key", "leaf")
+    alike = variants.join(template, "leaf").where(100 * agreed >= p.alike * F.size("tokens")).select("key", "leaf")
     alike = scratch.save(alike, "alike")
     # a template's classes are those of all its lines, each once
-    merged = sorted_.select("key", "sort").join(small(alike), "key").groupBy("leaf", "sort").agg(F.count("*").alias("docs"))
+    merged = sorted_.select("key", "sort").join(small(alike, 64), "key").groupBy("leaf", "sort").agg(F.count("*").alias("docs"))
     merged = merged.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("sorts"))
-    enough = (F.col("docs") >= p.docs) & (F.col("sorts") >= p.docs) & (F.col("sorts") >= p.sorts * F.col("docs"))
+    enough = (F.col("docs") >= p.docs) & (F.col("sorts") >= p.docs) & (100 * F.col("sorts") >= p.sorts * F.col("docs"))
     shared = merged.where(enough).join(alike, "leaf").select("key", "docs", "sorts")
     single = stats.where(enough).join(small(alike.select("key")), "key", "left_anti").select("key", "docs", "sorts")
-    return rows.select("row", "key"), scratch.save(single.union(shared), "recurring")
+    gone = scratch.save(single.union(shared), "recurring")
+    scratch.clear("found", "recurring")
+    return rows.select("row", "at", "key"), gone
 
 
-def drop_lines(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """docs with (_n_lines, _n_dropped) added and text without its recurring lines.
+def drop_lines(docs: DataFrame, p: Params = Params(), counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """docs with counts (lines, and those dropped) added, and text without its recurring lines.
 
     A null text stays null and has no line; a text none of whose lines recurs stays as it is, byte for byte; one that
-    consists of such lines becomes empty. Rows of equal texts count as one document and fare alike. Needs text alone;
-    other columns pass through, whatever they hold (those named _row, _same, _gone or _kept excepted). An empty table
-    gives none.
+    consists of such lines becomes empty. Rows of equal texts count as one document and fare alike, whatever their other
+    columns. Lines whose counts tie with a threshold are dropped. Needs text alone; other columns pass through, whatever their
+    names, but for columns named as counts, which are replaced. An empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "linedup")
-    docs = docs.withColumn("_row", F.xxhash64("text"))
-    rows, gone = recurring(docs.where("text is not null").select(F.col("_row").alias("row"), "text"), scratch, p)
-    pairs = scratch.save(rows.join(small(gone.select("key")), "key", "left_semi"), "pairs")
-    few = pairs.groupBy(F.col("row").alias("_same")).agg(F.collect_list("key").alias("_gone"))
-    # a broadcast is bounded by pairs, of which there are at least as many as rows
-    few = F.broadcast(few) if pairs.limit(1_000_001).count() <= 1_000_000 else few
-    out = docs.join(few, F.col("_row") == F.col("_same"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", _key(masked(x))))
-    out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
+    row, same, gone_at, kept = free(docs, "row", "same", "gone", "kept")
+    keyed = docs.withColumn(row, text_key(F.col("text")))
+    rows, gone = recurring(keyed.where("text is not null").select(F.col(row).alias("row"), "text"), scratch, p)
+    few = scratch.save(rows.join(small(gone.select("key")), "key", "left_semi").groupBy("row").agg(F.collect_list("at").alias("at")), "few")
+    scratch.clear("few")
+    few = small(few, 96)
+    out = keyed.join(few.select(F.col("row").alias(same), F.col("at").alias(gone_at)), F.col(row) == F.col(same), "left")
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone_at, i))
+    out = out.withColumn(kept, F.when(F.col(gone_at).isNotNull(), lines))
     count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    dropped = F.when(F.col("_kept").isNull(), 0).otherwise(count - F.size("_kept")).cast("long")
-    return out.withColumns({"_n_lines": count, "_n_dropped": dropped, "text": F.coalesce(F.array_join("_kept", "\n"), "text")}).drop("_row", "_same", "_gone", "_kept")
+    dropped = F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at)).cast("long")
+    return out.withColumns({counts[0]: count, counts[1]: dropped, "text": F.coalesce(F.array_join(kept, "\n"), "text")}).drop(row, same, gone_at, kept)

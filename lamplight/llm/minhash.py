@@ -3,14 +3,18 @@
 Each document's whole set of word shingles gives a digest and a signature, where the text lies. Equal sets become one
 representative. Representatives that share a band are compared by signature batches: after each batch, a pair is pruned
 if the posterior probability that its similarity reaches the threshold falls below the chosen miss probability. What
-survives is verified exactly, on full sets. Large buckets are dealt out as pairs of blocks and give spanning forests, not
-pairs, so that a group of n near copies costs O(n) rows and no task holds more than two blocks.
+survives is verified exactly, on full sets.
+
+Only components matter, so pairs of one component need no look. In each bucket all are compared with its head first; what
+that leaves apart (the rest) is compared with the whole bucket, in pairs of bounded blocks. Exact verification goes the same
+way: first the edges that survived, then, in components that fall apart, the rest against the whole. A group of n near
+copies costs O(n) rows, a rest of m of them another m * n / block, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import comb
 
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Scratch, block_pairs, components, small
+from lamplight.llm.common import Scratch, components, free, small, spread
 
 PIECE = 1 << 19  #: bytes hashed at once
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -31,7 +35,7 @@ _MASK = (1 << 64) - 1
 class Params:
     """percent: links have 100 * intersection >= percent * union. words: of a shingle. hashes: of a signature. rows: of a
     band. batch: hashes compared between two looks at the posterior. miss: largest chance to prune a pair that links.
-    block: members of a block of signatures; text_block: of texts."""
+    block: members of a block of signatures; set_block: of sets."""
 
     percent: int = 80
     words: int = 5
@@ -40,7 +44,7 @@ class Params:
     batch: int = 16
     miss: float = 1e-6
     block: int = 512
-    text_block: int = 192
+    set_block: int = 192
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -148,21 +152,32 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig) per row; digest and sig are null for an empty set. Whole texts, no shuffle."""
+    """(doc_id, text_key, n_shingles, digest, sig) per row; digest and sig are null for an empty set. Whole texts, no shuffle
+    but for small tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _factors(p.hashes)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            for at in range(0, len(ids), 512):
+            texts = batch.column(2).cast(pa.binary())
+            for at in range(0, batch.num_rows, 512):
                 n, digests, sigs = [], [], []
                 for s in document_sets(texts.slice(at, 512).to_pylist(), p.words):
                     n.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digests.append(_digest(s))
                     sigs.append(signature(s, a, b).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), batch.column(1).slice(at, 512), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_key", "n_shingles", "digest", "sig"])
+
+    rows = spread(docs.select(F.col("doc_id").cast("long"), text_key(docs).alias("text_key"), F.col("text").cast("string")))
+    return rows.mapInArrow(run, "doc_id long, text_key binary, n_shingles long, digest binary, sig binary")
+
+
+def _digest(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+def text_key(docs: DataFrame):
+    """128 bits of a text, an empty one's for null."""
+    return F.unhex(F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")))
 
 
 def bands(reps: DataFrame, p: Params) -> DataFrame:
@@ -235,16 +250,28 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _edges(pdf: pd.DataFrame, pairs) -> pd.DataFrame:
-    """Runs pairs(left rows, right rows) on a task's block or two blocks and returns a forest of (a, b)."""
-    ids, own = pdf["rep"].to_numpy(), pdf["own"].to_numpy()
-    same = pdf["task_i"].iat[0] == pdf["task_j"].iat[0]
-    left = np.flatnonzero(own == pdf["task_i"].iat[0])
-    right = left if same else np.flatnonzero(own == pdf["task_j"].iat[0])
+def rest_blocks(members: DataFrame, group: str, member: str, part: str, block: int) -> DataFrame:
+    """Deals groups that fall into several parts to tasks (group, i, j): block i of the rest, which is all but the largest
+    part, has rest = true, and block j of the whole group has rest = false. Other columns go along."""
+    sizes = members.groupBy(group, part).agg(F.count("*").alias("_k"))
+    largest = sizes.groupBy(group).agg(F.max(F.struct("_k", part)).alias("_m"), F.sum("_k").alias("_n"), F.count("*").alias("_parts")).where("_parts > 1")
+    largest = largest.select(group, F.col(f"_m.{part}").alias("_main"), F.ceil(F.col("_n") / block).cast("int").alias("_whole"), F.ceil((F.col("_n") - F.col("_m._k")) / block).cast("int").alias("_rest"))
+    rows = members.join(largest, group)
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64(member), F.col(n)).cast("int")
+    apart = rows.where(F.col(part) != F.col("_main")).select("*", own("_rest").alias("i"), blocks("_whole").alias("j"), F.lit(True).alias("rest"))
+    whole = rows.select("*", blocks("_rest").alias("i"), own("_whole").alias("j"), F.lit(False).alias("rest"))
+    return apart.union(whole).drop("_main", "_whole", "_rest")
+
+
+def _between(pdf: pd.DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Runs pairs(left rows, right rows) on a task's rest and block, and returns a forest of (a, b)."""
+    side = pdf["rest"].to_numpy()
+    left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    ids, node = np.unique(pdf["rep"].to_numpy(), return_inverse=True)
     i, j = pairs(left, right)
-    i, j = left[i], right[j]
-    i, j = (i[i < j], j[i < j]) if same else (i, j)
-    links = forest(len(ids), i, j)
+    i, j = node[left[i]], node[right[j]]
+    links = forest(len(ids), i[i != j], j[i != j])
     return pd.DataFrame({"a": ids[[x for x, _ in links]], "b": ids[[y for _, y in links]]}, dtype="int64")
 
 
@@ -267,60 +294,177 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return shared.astype(np.int64)
 
 
-def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    shared, size = intersections(sets, left, right), np.array([len(x) for x in sets])
-    return np.nonzero(100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared))
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    n, m = len(a), len(b)
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (n + m - shared)
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs (left[i], right[j]) of sets that are alike."""
+    if 20 * len(i) > len(left) * len(right):
+        size = np.array([len(x) for x in sets])
+        shared = intersections(sets, left, right)[i, j]
+        yes = 100 * shared >= percent * (size[left[i]] + size[right[j]] - shared)
+    else:
+        yes = np.array([alike(sets[left[x]], sets[right[y]], percent) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+    return i[yes], j[yes]
 
-    Texts that are null or have no word have no set and link with nothing; texts with fewer words than a shingle have
-    their whole sequence. component_id is the smallest doc_id reachable by links, kept marks that document. Repeated rows
-    of a doc_id share its result. Rows with a null doc_id are members like any other but never give a component its id,
-    and are kept only if there is no other. An empty table gives none. Other columns are not read.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    signed = scratch.save(sign(docs, p), "signed")
-    reps = scratch.save(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null"), "reps")
+
+#: Representatives without a doc_id of their own have a node above any doc_id.
+NAMELESS = 1 << 62
+
+
+def _matrix(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), -1)
+
+
+def _candidates(reps: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(a, b): edges between representatives (rep, sig) that share a band and no batch prunes; their components are those of
+    all such pairs. And these components."""
     banded = bands(reps, p)
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.hash("rep", F.lit(1)).cast("long") * F.hash(F.lit(2), "rep").cast("long")).alias("y")).where("n > 1")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("head"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.hash("rep", F.lit(1)).cast("long") * F.hash(F.lit(2), "rep").cast("long")).alias("y")).where("n > 1")
     # bands with the same members need one look
-    buckets = scratch.save(buckets.groupBy("n", "lo", "hi", "x", "y").agg(F.min("band").alias("band")), "buckets")
+    buckets = scratch.save(buckets.groupBy("n", "head", "hi", "x", "y").agg(F.min("band").alias("band")).select("band", "head"), "buckets")
+    members = scratch.save(banded.join(small(buckets), "band"), "members")
     sigs = reps.select("rep", "sig")
-    two = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    two = two.join(sigs.withColumnsRenamed({"rep": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "sig": "y"}), "b")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        looks = least_matches(p)
+    def looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = least_matches(p)
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                x, y = (_matrix(batch.column(c).to_pylist()) for c in ("x", "y"))
                 seen = np.cumsum(x == y, axis=1)
-                yield batch.select(["a", "b"]).filter(pa.array(np.logical_and.reduce([seen[:, k - 1] >= m for k, m in looks])))
+                yield batch.select(["a", "b"]).filter(pa.array(np.logical_and.reduce([seen[:, k - 1] >= m for k, m in least])))
+
+    stars = members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stars.join(sigs.withColumnsRenamed({"rep": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "sig": "y"}), "b")
+    near = scratch.save(stars.select("a", "b", "x", "y").mapInArrow(looks, "a long, b long"), "near")
+    parts = components(near, scratch, "stars")
+    parts = members.select("band", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("part"))
+    tasks = rest_blocks(scratch.save(parts, "parts"), "band", "rep", "part", p.block)
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        return _edges(pdf, lambda left, right: survivors(sig[left], sig[right], p))
-
-    more = banded.join(buckets.where("n > 2").select("band", "n"), "band")
-    more = block_pairs(more, "band", "rep", "n", p.block).join(sigs, "rep").select("band", "task_i", "task_j", "own", "rep", "sig")
-    close = two.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long").union(more.groupBy("band", "task_i", "task_j").applyInPandas(bucket, "a long, b long"))
-    candidates = scratch.save(components(close, scratch, "close"), "candidates")
-
-    sized = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("n")), "component")
-    tasks = block_pairs(sized, "component", "node", "n", p.text_block).withColumnRenamed("node", "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(small(candidates.select(F.col("node").alias("rep"))), "rep", "left_semi")
-
-    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["rep", "own", "text"]).reset_index(drop=True)
-        sets = list(document_sets([x.encode() if x is not None else None for x in pdf["text"]], p.words))
-        return _edges(pdf, lambda left, right: verified(sets, left, right, p.percent))
-
-    links = texts.join(tasks, "rep").groupBy("component", "task_i", "task_j").applyInPandas(exact, "a long, b long")
-    final = scratch.save(components(links, scratch, "links"), "final")
-    named = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    own = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        sig = _matrix(pdf["sig"].tolist())
+        return _between(pdf, lambda left, right: survivors(sig[left], sig[right], p))
+
+    more = tasks.select("band", "rep", "i", "j", "rest").join(sigs, "rep").groupBy("band", "i", "j").applyInPandas(bucket, "a long, b long")
+    edges = scratch.save(near.union(more.distinct()), "edges")
+    found = scratch.save(components(edges, scratch, "close"), "candidates")
+    scratch.drop("buckets", "members", "near", "parts")
+    return edges, found
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
+    """(rep, set) of the digests wanted (digest, rep), written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary())
+            for at in range(0, batch.num_rows, 512):
+                found = list(document_sets(texts.slice(at, 512).to_pylist(), p.words))
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "set"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    named = wanted.where(F.col("rep") < NAMELESS).select(F.col("rep").alias("_id"))
+    if wanted.where(F.col("rep") >= NAMELESS).limit(1).count():  # an odd table: all texts are looked through
+        held = rows.select("text")
+    else:
+        held = rows.join(small(named), "_id", "left_semi").select("text")
+    found = held.distinct().mapInArrow(run, "digest binary, set binary")
+    return scratch.save(found.join(small(wanted, 24), "digest").select("rep", "set").distinct(), "sets")
+
+
+def _groups(docs: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
+    """(doc_id, text_key, n_shingles, node, component_id) of each row of docs; node is null for an empty set, else the least
+    representative reachable by links, and component_id the least doc_id."""
+    signed = scratch.save(sign(docs, p), "signed")
+    reps = scratch.save(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    # doc_ids with several texts name none of them
+    several = scratch.save(reps.where("rep is not null").groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep", F.lit(True).alias("several")), "several")
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("digest"), F.lit(1 << 61))
+    reps = reps.join(small(several), "rep", "left").withColumn("rep", F.when(F.col("several") | F.col("rep").isNull(), nameless).otherwise(F.col("rep"))).drop("several")
+    reps = scratch.save(reps, "named")
+    edges, found = _candidates(reps.select("rep", "sig"), scratch, p)
+    wanted = scratch.save(reps.select("digest", "rep").join(small(found.select(F.col("node").alias("rep"))), "rep", "left_semi"), "wanted")
+    sets = _sets(docs, wanted, scratch, p)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), p.percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    both = edges.distinct().join(sets.withColumnsRenamed({"rep": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "set": "y"}), "b")
+    links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links")
+    parts = found.join(components(links, scratch, "verified").withColumnsRenamed({"component": "part"}), "node", "left")
+    parts = scratch.save(parts.select("component", F.col("node").alias("rep"), F.coalesce("part", "node").alias("part")), "parts")
+    tasks = rest_blocks(parts, "component", "rep", "part", p.set_block)
+
+    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets, sig = [np.frombuffer(x, np.uint64) for x in pdf["set"]], _matrix(pdf["sig"].tolist())
+        return _between(pdf, lambda left, right: verified(sets, left, right, *survivors(sig[left], sig[right], p), p.percent))
+
+    a, b = _factors(p.hashes)
+
+    def resign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("sig", pa.array([signature(np.frombuffer(x.as_py(), np.uint64), a, b).tobytes() for x in batch.column(1)], pa.binary()))
+
+    apart = parts.join(parts.where("part <> component").select("component").distinct(), "component", "left_semi").select("rep").distinct()
+    signed_sets = sets.join(small(scratch.save(apart, "apart")), "rep", "left_semi").mapInArrow(resign, "rep long, set binary, sig binary")
+    more = tasks.select("component", "rep", "i", "j", "rest").join(signed_sets, "rep").groupBy("component", "i", "j").applyInPandas(rest, "a long, b long")
+    final = scratch.save(components(links.union(more), scratch, "final"), "final")
+    named = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("node"))
+    out = scratch.save(signed.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left").drop("digest"), "rows")
+    if several.limit(1).count():
+        out = out.join(out.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("component_id")), "node", "left")
+    else:
+        out = out.withColumn("component_id", F.when(F.col("node") < NAMELESS, F.col("node")))
+    scratch.clear("rows")
+    return out.select("doc_id", "text_key", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+
+    Texts that are null or have no word have no set and link with nothing; texts with fewer words than a shingle have
+    their whole sequence. Similarities that tie with the threshold link. component_id is the smallest doc_id reachable by
+    links, kept marks that document. Rows of one doc_id with different texts are documents of their own with that id; equal rows
+    share a result. Rows with a null doc_id are members like any other but never give a component its id, which is null if
+    there is no other; they are kept only then. An empty table gives none. Other columns are not read.
+    """
+    groups = _groups(docs, Scratch(docs.sparkSession, "minhash"), p)
+    return groups.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest doc_id (null last), then of the least hash
+    of its text; of rows that repeat both, one. Rows without words stay, whatever their doc_id. An empty table gives none.
+    Columns keep names and types, whatever they are. Texts are shuffled only where the rows that go are too many to broadcast.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    groups = _groups(docs, scratch, p).where("node is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    # a group's rows are counted by (group, row) before they meet
+    each = groups.groupBy("node", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = each.groupBy("node").agg(F.min(row).alias("first"), F.sum("n").alias("n")).where("n > 1").select("node", "first")
+    each = scratch.save(each.join(first, "node").withColumn("stays", row == F.col("first")), "each")
+    scratch.clear("each")
+    _id, key, other_id, other_key, place = free(docs, "id", "key", "other_id", "other_key", "place")
+    keyed = docs.withColumns({_id: F.col("doc_id").cast("long"), key: text_key(docs)})
+    same = F.col(_id).eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key))
+    rows = lambda name, test: small(scratch.save(each.where(test).select(F.col("doc_id").alias(other_id), F.col("text_key").alias(other_key)).distinct(), name), 24)
+    left = keyed.join(rows("gone", "not stays"), same, "left_anti")
+    again = scratch.save(each.where("stays and n > 1").select(F.col("doc_id").alias(other_id), F.col("text_key").alias(other_key)).distinct(), "again")
+    if not again.limit(1).count():
+        return left.select(docs.columns)
+    # rows that repeat: numbered by their place in the table, which splits a group of any size
+    twice = scratch.save(left.join(small(again, 24), same, "left_semi").withColumn(place, F.monotonically_increasing_id()), "twice")
+    firsts = scratch.save(twice.groupBy(_id, key).agg(F.min(place).alias(place)).select(place), "firsts")
+    once = twice.join(firsts, place, "left_semi")
+    return left.join(small(again, 24), same, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))

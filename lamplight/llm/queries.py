@@ -125,33 +125,51 @@ WITH RECURSIVE worded AS (SELECT doc_id, list_transform(regexp_extract_all(coale
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM sets LEFT JOIN placed ON id = doc_id
 """
 
-_OP7 = r"""
-WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
-  split_ AS (SELECT text, unnest(string_split(text, chr(10))) AS line FROM texts),
-  masked AS (SELECT DISTINCT text, array_to_string(list_transform(regexp_extract_all(line, '[^ \t\x0B-\r]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9@]') THEN '<*>' ELSE t END), ' ') AS m FROM split_),
-  lines AS (SELECT text, m, string_split(m, ' ') AS t FROM masked WHERE m <> ''),
-  keyed AS (SELECT text, m, t, substr(md5(CAST(len(t) AS VARCHAR) || ' ' || array_to_string(t[1:3], ' ')), 1, 24) AS leaf, substr(md5(array_to_string(t[1:3], ' ')), 1, 24) AS start FROM lines),
-  least_ AS (SELECT *, min(start) OVER (PARTITION BY text) AS l, sum(length(m)) OVER (PARTITION BY text) AS whole FROM keyed),
-  next_ AS (SELECT *, min(CASE WHEN start <> l THEN start END) OVER (PARTITION BY text) AS nx FROM least_),
-  rows_ AS (SELECT text, m, t, leaf, CASE WHEN length(m) <= 0.5 * whole THEN CASE WHEN start <> l THEN l ELSE nx END END AS sort FROM next_ WHERE len(t) >= 4),
-  stats AS (SELECT m, any_value(t) AS t, leaf, count(*) AS docs, count(DISTINCT sort) AS sorts FROM rows_ WHERE sort IS NOT NULL GROUP BY m, leaf),
-  leaves AS (SELECT leaf, count(*) AS lines, sum(docs) AS docs FROM stats GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 3),
+def _op7(p: linedup.Params = linedup.Params()) -> str:
+    mask = r"array_to_string(list_transform(regexp_extract_all(line, '[^ \t\x0B-\r]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9@]') THEN '<*>' ELSE t END), ' ')"
+    number = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
+    least = ", ".join(f"min((x * {a} + {b}) % {linedup.PRIME}) AS h{i}" for i, (a, b) in enumerate(linedup.factors(p)))
+    bands = " UNION ALL ".join("SELECT row_, {0} AS band, {1} FROM hashed".format(k, ", ".join(f"h{k * p.hashes + i} AS m{i}" for i in range(p.hashes))) for k in range(p.bands))
+    on = ", ".join(["band", *(f"m{i}" for i in range(p.hashes))])
+    enough = f"docs >= {p.docs} AND sorts >= {p.docs} AND 100 * sorts >= {p.sorts} * docs"
+    return rf"""
+WITH RECURSIVE texts AS (SELECT DISTINCT md5(text) AS row_, text FROM documents WHERE text IS NOT NULL),
+  split_ AS (SELECT row_, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM texts),
+  masked AS (SELECT row_, place, {mask} AS m FROM split_),
+  lines AS (SELECT row_, place, m, string_split(m, ' ') AS t FROM masked WHERE m <> ''),
+  found AS (SELECT row_, place, m, t, CAST(len(t) AS VARCHAR) || ' ' || array_to_string(t[1:{p.depth}], ' ') AS leaf, array_to_string(t[1:{p.depth}], ' ') AS begins, array_to_string(t[greatest(1, len(t) - {p.depth - 1}):len(t)], ' ') AS ends FROM lines),
+  numbers AS (SELECT DISTINCT row_, {number.format("begins")} AS x FROM found UNION SELECT DISTINCT row_, {number.format("ends")} FROM found),
+  hashed AS (SELECT row_, {least} FROM numbers GROUP BY row_),
+  bands AS ({bands}),
+  heads AS (SELECT {on}, min(row_) AS head FROM bands GROUP BY {on} HAVING count(*) > 1),
+  counted AS (SELECT row_, count(*) AS n FROM found GROUP BY row_),
+  pairs AS (SELECT DISTINCT b.row_, head FROM bands b JOIN heads USING ({on}) JOIN counted x ON x.row_ = b.row_ JOIN counted y ON y.row_ = head WHERE b.row_ <> head AND 3 * least(x.n, y.n) >= 2 * greatest(x.n, y.n)),
+  some_ AS (SELECT row_ FROM pairs UNION SELECT head FROM pairs),
+  words AS (SELECT row_, unnest(regexp_extract_all(text, '[^ \t-\r]+')) AS word FROM texts JOIN some_ USING (row_)),
+  parts AS (SELECT row_, word, sum(length(word) + 1) AS size FROM words GROUP BY ALL),
+  whole AS (SELECT row_, sum(size) AS size FROM parts GROUP BY row_),
+  both_ AS (SELECT p.row_, p.head, sum(least(x.size, y.size)) AS n FROM pairs p JOIN parts x ON x.row_ = p.row_ JOIN parts y ON y.row_ = p.head AND y.word = x.word GROUP BY ALL),
+  alinks AS (SELECT b.row_ AS a, b.head AS b FROM both_ b JOIN whole x ON x.row_ = b.row_ JOIN whole y ON y.row_ = b.head WHERE 100 * n >= {p.near} * (x.size + y.size - n)),
+  links AS (SELECT a, b FROM alinks UNION SELECT b, a FROM alinks),
+  walk(id, seen) AS (SELECT a, a FROM links UNION SELECT w.id, l.b FROM walk w JOIN links l ON l.a = w.seen),
+  near AS (SELECT id AS row_, min(seen) AS sort FROM walk GROUP BY id),
+  rows_ AS (SELECT DISTINCT f.row_, m, t, leaf, coalesce(sort, f.row_) AS sort FROM found f LEFT JOIN near n ON n.row_ = f.row_ WHERE len(t) >= {p.tokens}),
+  stats AS (SELECT m, any_value(t) AS t, leaf, count(*) AS docs, count(DISTINCT sort) AS sorts FROM rows_ GROUP BY m, leaf),
+  leaves AS (SELECT leaf, count(*) AS lines FROM stats GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {p.docs}),
   variants AS (SELECT s.leaf, s.m, s.t FROM stats s JOIN leaves USING (leaf)),
   tokens AS (SELECT leaf, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS pos FROM variants),
-  votes AS (SELECT v.leaf, pos, token, n FROM (SELECT leaf, pos, token, count(*) AS n FROM tokens GROUP BY ALL) v JOIN leaves USING (leaf) WHERE n >= 0.5 * lines),
+  votes AS (SELECT v.leaf, pos, token, n FROM (SELECT leaf, pos, token, count(*) AS n FROM tokens GROUP BY ALL) v JOIN leaves USING (leaf) WHERE 100 * n >= {p.constant} * lines),
   best AS (SELECT leaf, pos, token FROM votes QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY n DESC, token) = 1),
   agreed AS (SELECT v.leaf, v.m, len(v.t) AS size, count(*) AS n FROM variants v JOIN best b ON v.leaf = b.leaf AND v.t[b.pos] = b.token GROUP BY ALL),
-  alike AS (SELECT leaf, m FROM agreed WHERE n >= 0.6 * size),
-  merged AS (SELECT a.leaf, count(*) AS docs, count(DISTINCT sort) AS sorts FROM rows_ r JOIN alike a ON a.m = r.m WHERE sort IS NOT NULL GROUP BY a.leaf),
-  gone AS (SELECT m FROM alike JOIN merged USING (leaf) WHERE docs >= 3 AND sorts >= 3 AND sorts >= 0.4 * docs
-    UNION SELECT m FROM stats WHERE docs >= 3 AND sorts >= 3 AND sorts >= 0.4 * docs AND m NOT IN (SELECT m FROM alike)),
-  every AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL),
-  flagged AS (SELECT doc_id, line, pos, array_to_string(list_transform(regexp_extract_all(line, '[^ \t\x0B-\r]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9@]') THEN '<*>' ELSE t END), ' ') IN (SELECT m FROM gone) AS g FROM every),
-  clean AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT g), '') AS text FROM flagged GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n_dropped, 0) AS BIGINT) AS n_dropped, CAST(strlen(coalesce(c.text, '')) AS BIGINT) AS clean_bytes, sha256(coalesce(c.text, '')) AS clean_sha256
-FROM documents d LEFT JOIN clean c USING (doc_id)
+  alike AS (SELECT leaf, m FROM agreed WHERE 100 * n >= {p.alike} * size),
+  merged AS (SELECT a.leaf, count(*) AS docs, count(DISTINCT sort) AS sorts FROM rows_ r JOIN alike a ON a.m = r.m GROUP BY a.leaf),
+  gone AS (SELECT m FROM alike JOIN merged USING (leaf) WHERE {enough} UNION SELECT m FROM stats WHERE {enough} AND m NOT IN (SELECT m FROM alike)),
+  flagged AS (SELECT s.row_, s.line, s.place, f.row_ IS NOT NULL AS g FROM split_ s LEFT JOIN (SELECT row_, place FROM found WHERE m IN (SELECT m FROM gone) AND len(t) >= {p.tokens}) f USING (row_, place)),
+  clean AS (SELECT row_, count(*) AS n_lines, count(*) FILTER (g) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT g), '') AS text FROM flagged GROUP BY row_)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, CAST(strlen(coalesce(c.text, '')) AS BIGINT) AS clean_bytes, sha256(coalesce(c.text, '')) AS clean_sha256
+FROM documents d LEFT JOIN clean c ON c.row_ = md5(d.text)
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_neighbours": _OP1, "op3_warc_round_trip": _OP3, "op4_source_mix": _OP4, "op6_minhash_bayes": _OP6, "op7_line_templates": _OP7}
+    return {"op1_embedding_neighbours": _OP1, "op3_warc_round_trip": _OP3, "op4_source_mix": _OP4, "op6_minhash_bayes": _OP6, "op7_line_templates": _op7()}

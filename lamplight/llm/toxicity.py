@@ -346,3 +346,23 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
         scored = rows.mapInArrow(judge, f"doc_id long, score double, evidence {evidence}")
     held = F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(5)) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of docs whose texts score() doesn't predict toxic, as they are: texts alone decide, so rows without a doc_id
+    and rows that repeat are judged like others; null and empty texts have no evidence and stay unless the base rate is toxic.
+    Columns keep names and types, whatever they are; nothing is joined or shuffled but small tables. An empty table gives none.
+    """
+    made = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, p)
+    if isinstance(made, float):
+        return docs if made < 0.5 else docs.limit(0)
+    sent = docs.sparkSession.sparkContext.broadcast(made)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in range(0, batch.num_rows, 1024):
+                part = batch.slice(x, 1024)
+                yield part.filter(pa.array([s < 0.5 for s, _ in sent.value.score(part.column(at).cast(pa.string()).to_pylist())], pa.bool_()))
+
+    return spread(docs).mapInArrow(run, docs.schema)

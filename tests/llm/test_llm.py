@@ -186,6 +186,10 @@ def test_minhash_odd(spark, odd):
     assert got[7][0][1:] == (7, True) and got[8][0][1:] == (7, False)
     assert got[9] == [(1, 9, True)] and got[10] == [(1, 9, False)]
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
+    one, two = words(60, 70), words(60, 71)
+    rows = [(4, one), (4, two), (9, two), (9, one + " x"), (2, words(60, 72)), (None, words(60, 72))]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in out) == [("2", 2, True), ("4", 4, True), ("4", 4, True), ("9", 4, False), ("9", 4, False), ("None", 2, False)]
 
 
 def test_minhash_blocks_lose_no_link(spark):
@@ -195,7 +199,7 @@ def test_minhash_blocks_lose_no_link(spark):
         t = list(base)
         t[i % 80] = f"v{i}"
         docs.append((i, " ".join(t)))
-    p = minhash.Params(percent=80, block=16, text_block=16)
+    p = minhash.Params(percent=80, block=16, set_block=16)
     out = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), p).toPandas()
     assert set(out["component_id"]) == {0}
 
@@ -446,8 +450,87 @@ def test_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
-def test_pipeline_stages_take_odd_rows(spark, odd):
-    docs = odd.drop("size")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).count() >= 1
-        assert stage(spark, docs.limit(0), SF).count() == 0
+#: Names that a stage may want for itself, all at once.
+CLASH = ["text_key", "row_key", "_row", "row", "same", "gone", "kept", "_kept", "key", "_key", "other", "total", "rows", "place", "times", "rank", "id", "other_id", "other_key", "lines", "dropped", "_n_lines", "_doc", "_copies", "_copy", "node", "size", "copies"]
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    return odd.drop("size").select("*", *(F.lit(7).alias(c) for c in CLASH))
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, clashing):
+    for docs in (odd.drop("size"), clashing):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert out.count() >= 1 and (out.columns == docs.columns or stage is corpus_pipeline.STAGES[-1][1])
+            assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_copies_go_by_rows(spark, clashing):
+    base, other = words(60, 2), words(60, 3)
+    rows = [(1, base)] * 3 + [(2, base), (3, base + " tail"), (4, other), (4, base), (None, base), (None, other), (None, words(60, 5)), (None, words(60, 5)), (6, None), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_copies(spark, docs, SF).select("doc_id", "text").collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    # each text of doc 4 is a document of its own
+    assert sorted(map(tuple, got), key=key) == sorted([(1, base), (4, other), (None, words(60, 5)), (6, None), (6, None), (7, "")], key=key)
+    assert corpus_pipeline.drop_copies(spark, clashing, SF).where("doc_id in (1, 2, 3)").count() == 1
+
+
+def test_mix_takes_what_it_says(spark):
+    rows = [(i % 130, words(5 + i % 30, i % 130), "en", ["big", "big", "a", None][i % 130 % 4], 0, 3) for i in range(440)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row_key int")
+    want = mixing.copies(docs).select(F.sum(F.col("copies") * F.col("size"))).first()[0]
+    out = corpus_pipeline.mix_sources(spark, docs, SF)
+    got = out.groupBy("doc_id").count().collect()
+    assert out.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == want and out.columns == docs.columns
+    each = {r["doc_id"]: r["n"] for r in mixing.copies(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()}
+    assert {r["doc_id"]: r["count"] for r in got} == {k: n for k, n in each.items() if n}
+
+
+def test_toxic_rows_go_by_text(spark):
+    rows = [(i, words(40, i) + (" vile rotten vile" if i % 5 == 0 else ""), "en", "s", 0) for i in range(600)]
+    rows += [(None, words(40, 900) + " vile rotten vile", "en", "s", 0), (None, words(40, 901), "en", "s", 0), (700, words(40, 902), "en", "s", 0), (700, words(40, 903) + " rotten vile vile", "en", "s", 0), (601, None, "en", "s", 0), (602, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    out = toxicity.keep_clean(docs, labels)
+    texts = [r["text"] or "" for r in out.collect()]
+    assert not any("vile" in t for t in texts) and len(texts) == 484 and out.columns == docs.columns
+    assert toxicity.keep_clean(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark):
+    """Each stage over sf0.001 against plain Python on its own input; line dedup against SQL in test_sql."""
+    docs = common.table(spark, SF, "documents")
+    scores = {r["doc_id"]: r["predicted"] for r in queries.op8_toxicity_neighbours(spark, SF).collect()}
+    clean = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, y in scores.items() if not y}
+    thin = corpus_pipeline.drop_lines(spark, clean, SF)
+    want = {r["doc_id"]: r["text"] for r in linedup.drop_lines(clean).collect()}
+    rows = thin.collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == want
+    sets = {}
+    for r in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (r["text"] or "").translate({k: k + 32 for k in range(65, 91)})) if x]
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    top = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = a, b
+                while top[x] != x:
+                    x = top[x]
+                while top[y] != y:
+                    y = top[y]
+                top[max(x, y)] = min(x, y)
+    kept = corpus_pipeline.drop_copies(spark, thin, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in top if top[i] == i)
+    mixed = corpus_pipeline.mix_sources(spark, kept, SF)
+    each = {r["doc_id"]: r["copies"] for r in mixing.copies(kept).collect()}
+    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({i: n for i, n in each.items() if n})
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(queries.tokenizer().ranks), special_tokens={})
+    last = corpus_pipeline.encode_tokens(spark, mixed, SF).collect()
+    plain = Counter((r["doc_id"], len(_expected(r["text"], enc)[0]), *_expected(r["text"], enc)[1:]) for r in mixed.collect())
+    assert Counter(map(tuple, last)) == plain
+    assert Counter(map(tuple, queries.pipeline(spark, SF).collect())) == plain
