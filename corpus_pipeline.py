@@ -1,4 +1,8 @@
-"""A corpus, stage by stage: toxicity, line dedup, near-dedup, mixing, tokens. Part of the subpackage llm."""
+"""A corpus, stage by stage: toxicity, line dedup, near-dedup, mixing, tokens. Part of the subpackage llm.
+
+Each stage takes documents with any further columns, null, empty, tied and repeated ones, and rows decide, not doc_ids. An
+empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
@@ -6,53 +10,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamplight.llm import bpe, linedup, minhash, mixing, toxicity
-from lamplight.llm.common import Scratch, small, table
+from lamplight.llm.common import Scratch, free, table
 from lamplight.llm.queries import tokenizer
 
 
-def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """The rows of docs whose doc_id isn't in gone; rows without a doc_id stay."""
-    return docs.join(small(Scratch(docs.sparkSession, name).save(gone.select("doc_id").distinct(), "gone")), "doc_id", "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are predicted toxic. Labels are learned from documents that came in."""
-    judged = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, judged.where("predicted = 1"), "toxic")
+    """Without the rows whose texts are predicted toxic. Labels are learned from documents that came in. Rows of equal texts,
+    whatever their doc_ids, go or stay together; null and empty texts stay."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that recur across them; n_chars follows the text."""
-    out = linedup.drop_lines(docs)
-    chars = F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars).select(docs.columns)
+    """All rows, without lines that recur across documents; n_chars follows the text where a line went. Null texts stay null,
+    rows of equal texts fare alike, and what consists of recurring lines becomes empty."""
+    lines, dropped = free(docs, "lines", "dropped")
+    out = linedup.drop_lines(docs, counts=(lines, dropped))
+    return out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    found = minhash.near_duplicates(docs, minhash.Params(percent=80))
-    return _without(docs, found.where(~F.col("kept")), "copies")
+    """One row of each group of near copies, that of the smallest doc_id, null last; equal rows are copies too. Texts without
+    words stay."""
+    return minhash.keep_one(docs, minhash.Params(percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    mixed = mixing.copies(docs).where("copies <> 1").groupBy(F.col("doc_id").alias("_doc"), "text_key").agg(F.max("copies").alias("_copies"))
-    mixed = small(Scratch(spark, "mixed").save(mixed, "copies"))
-    # most documents of a source have as many copies; those that have one are left out of the join's side
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    out = keyed.join(mixed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("text_key")), "left")
-    times = F.coalesce("_copies", F.lit(1)).cast("int")
-    return out.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+    """Each row as many times as the mix takes it; equal rows share their copies. A null source is one of its own, and rows
+    without words weigh nothing."""
+    return mixing.mix(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; a null text has the tokens of an empty one."""
     return bpe.encode(docs, tokenizer(), keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("minhash near-dedup", drop_copies), ("source mix", mix_sources), ("bpe", encode_tokens)]
 
-#: Nearest neighbours and byte-pair merges aren't SQL: the stages are tested one by one.
+#: Nearest neighbours and byte-pair merges aren't SQL: the stages are held against brute force one by one.
 ORACLE_SQL = None
 
 
