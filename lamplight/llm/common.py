@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +68,20 @@ class Scratch:
             self._files(self.root).delete(self._path(self.path(name)), True)
             self.names.discard(name)
 
+    def remove(self, folder: str) -> None:
+        """Deletes a folder that tasks wrote to."""
+        self._files(self.root).delete(self._path(self.path(folder)), True)
+
     def clear(self, *kept: str) -> None:
         """Drops all tables but those kept."""
         self.drop(*(self.names - set(kept)))
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """Where tasks read and write files of the shared folder, and the path there."""
+    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as no column of the table, in any case, has."""
     taken, out = {c.lower() for c in df.columns}, []

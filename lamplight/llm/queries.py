@@ -15,7 +15,8 @@ def tokenizer() -> bpe.Params:
 
 
 def op1_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), neighbours.Params(cosine=0.93))
+    out = neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), neighbours.Params(cosine=0.93))
+    return out.select("vec_id", "n_links", "component_id", "kept")
 
 
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,12 +350,12 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
 
 def keep_clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of docs whose texts score() doesn't predict toxic, as they are: texts alone decide, so rows without a doc_id
-    and rows that repeat are judged like others; null and empty texts have no evidence and stay unless the base rate is toxic.
-    Columns keep names and types, whatever they are; nothing is joined or shuffled but small tables. An empty table gives none.
+    and rows that repeat are judged like others; null and empty texts have no evidence and stay where toxic rows are the fewer.
+    Without labels of both classes nothing is judged and all stay. Columns keep names and types, whatever they are; nothing is joined or shuffled but small tables. An empty table gives none.
     """
     made = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, p)
     if isinstance(made, float):
-        return docs if made < 0.5 else docs.limit(0)
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(made)
     at = [c.lower() for c in docs.columns].index("text")
 

@@ -10,11 +10,10 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Scratch, small
+from lamplight.llm.common import Scratch, file_system, small
 
 CHUNK = 1 << 16  #: compressed bytes read at once
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -189,10 +188,6 @@ def record(kind: str, record_id: str, uri: str, payload: bytes | None, digest: s
     return deflate.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + deflate.flush()
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-
-
 def _archive(rows: DataFrame, folder: str, kind: str) -> DataFrame:
     """Writes rows (page_id, url, digest, bytes, payload, refers_to) as records of one kind, an archive per task. Returns
     (file, page_id, record_id, digest, bytes)."""
@@ -205,7 +200,7 @@ def _archive(rows: DataFrame, folder: str, kind: str) -> DataFrame:
                 for row in range(batch.num_rows):
                     page, url, digest, size, data, refers = (c[row].as_py() for c in batch.columns)
                     if out is None:
-                        files, at = _file_system(folder)
+                        files, at = file_system(folder)
                         files.create_dir(at, recursive=True)
                         name = f"part-{uuid.uuid4().hex}.warc.gz"
                         out = files.open_output_stream(f"{at}/{name}", compression=None)
@@ -249,7 +244,7 @@ def scan(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
         schema = pa.schema(list(FIELDS.items()))
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                files, at = _file_system(folder)
+                files, at = file_system(folder)
                 rows = []
                 with files.open_input_stream(f"{at}/{name}", compression=None) as stream:
                     for row in read(stream):
@@ -282,7 +277,8 @@ def round_trip(pages: DataFrame, revisit_bytes: int = 100) -> DataFrame:
     scratch = Scratch(spark, "warc")
     folder = scratch.path("archives")
     index = write(pages, folder, scratch, revisit_bytes)
-    names = index.select("file").distinct().withColumn("_key", F.xxhash64("file")).repartition(F.col("_key")).select("file")
+    names = scratch.save(index.select("file").distinct(), "names")
+    names = names.repartition(max(1, min(names.count(), 100_000)))  # a task an archive; by number, so that none are put together
     back = scratch.save(resolved(scratch.save(scan(spark, folder, names), "read")), "resolved")
     written = index.select(F.col("file").alias("_file"), F.col("record_id").alias("_id"))
     out = back.join(written, F.col("record_id") == F.col("_id"), "full")

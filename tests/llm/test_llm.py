@@ -74,9 +74,45 @@ def test_graph_recall():
     x[1500:] = x[r.integers(0, 1500, 1500)] + 0.25 * r.normal(size=(1500, 24))
     x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
     graph = neighbours.Graph(x, neighbours.Params())
-    i, j = graph.within(x, 0.93)
-    true = set(zip(*np.nonzero(x @ x.T >= 0.93), strict=True))
-    assert len(true & set(zip(i, j, strict=True))) >= 0.98 * len(true)
+    found, recall = graph.within(x, 0.93, own=True)
+    true = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    assert (found & true).sum() >= 0.98 * true.sum() and not (found & ~true).any() and recall >= 0.98
+
+
+def test_neighbours_between_shards(spark):
+    """Several shards, a large group of near copies and vectors that repeat, against brute force."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(900, 16))
+    x[300:600] = x[0] + 0.02 * r.normal(size=(300, 16))
+    x[600:700] = x[r.integers(0, 300, 100)] + 0.2 * r.normal(size=(100, 16))
+    x[700:720] = x[20]
+    x = x.astype(np.float32).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {v["vec_id"]: v for v in neighbours.near_duplicates(vectors, neighbours.Params(shard=100, widest=64)).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = (unit @ unit.T >= 0.93) & ~np.eye(900, dtype=bool) & (np.arange(900)[:, None] % 2 == np.arange(900) % 2)
+    top, before = np.arange(900), None
+    while before is None or (top != before).any():
+        before, top = top, np.array([min([top[i], *top[link[i]]]) for i in range(900)])
+    assert [got[i]["n_links"] for i in range(900)] == link.sum(axis=1).tolist()
+    assert [got[i]["component_id"] for i in range(900)] == top.tolist()
+    assert all(got[i]["recall"] >= 0.9 for i in range(900))
+
+
+def test_spanning_forests():
+    r = np.random.default_rng(1)
+    hit = r.random((40, 50)) < 0.02
+    i, j = neighbours.spanning(hit)
+    edge = lambda a, b: [(int(x), 100 + int(y)) for x, y in zip(a, b, strict=True)]
+
+    def parts(pairs):
+        top = {x: x for p in pairs for x in p}
+        for _ in top:
+            for a, b in pairs:
+                top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    assert hit[i, j].all() and parts(edge(i, j)) == parts(edge(*np.nonzero(hit))) and len(i) < 90
 
 
 def test_shards(spark, odd):
