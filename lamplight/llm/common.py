@@ -100,7 +100,7 @@ def small(df: DataFrame, width: int | None = None, size: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread(df: DataFrame, size: int = 64 << 20, part: int = 1 << 20) -> DataFrame:
+def spread(df: DataFrame, size: int = 16 << 20, part: int = 1 << 20) -> DataFrame:
     """A small table, which may lie in one file of one row group, dealt to all cores for work that is long a row; others as
     they are read."""
     held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

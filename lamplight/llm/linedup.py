@@ -6,8 +6,8 @@ variable; lines that agree with most constants share the leaf's template, others
 that recur across documents are dropped.
 
 Copies of a document are no recurrence: near copies share nearly all lines, so what counts is how many classes of near
-copies a template occurs in. Documents are near copies if their words, weighed by length, are alike; bands of MinHashes
-over how lines begin and end find whom to compare.
+copies a template occurs in. Documents are near copies if most of either, by length, is lines that begin or end as one of the
+other's; bands of MinHashes over how lines begin and end find whom to compare.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ class Params:
     fewest classes of near copies, across which a template recurs. sorts: least percentage of these classes among the
     documents; it keeps lines of a large group of near copies of which a few were taken for classes of their own. constant:
     percentage of a leaf's distinct lines that agree on a constant token. alike: percentage of a line's tokens that equal
-    constants of its leaf's template. near: percentage of words that near copies share; their lines, counted, differ by half at
-    most, so that a notice alone is no near copy of a page that holds it. bands, hashes: of MinHashes that find documents to
-    compare."""
+    constants of its leaf's template. near: percentage of either's text, by length, that near copies share. bands, hashes: of
+    MinHashes that find documents to compare."""
 
     depth: int = 3
     tokens: int = 4
@@ -37,7 +36,7 @@ class Params:
     sorts: int = 40
     constant: int = 50
     alike: int = 60
-    near: int = 80
+    near: int = 88
     bands: int = 16
     hashes: int = 3
 
@@ -73,8 +72,8 @@ def _key(line: Column) -> Column:
     return F.substring(F.md5(line.cast("binary")), 1, 24)
 
 
-def _number(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+def _number(key: Column) -> Column:
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
 
 
 def _affine(a: int, b: int) -> Callable[[Column], Column]:
@@ -92,42 +91,42 @@ def _lines(docs: DataFrame) -> DataFrame:
     return out.withColumn("tokens", _tokens(F.col("line")))
 
 
-def _copies(docs: DataFrame, found: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
-    """(row, sort) of the rows of docs (row, text), with lines found (row, x, y), that have near copies; equal sorts are one
-    class.
+def _copies(found: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
+    """(row, sort) of the rows, with lines found (row, x, y, size), that have near copies; equal sorts are one class.
 
     In each bucket of a band, rows are compared with its least row alone, so that a large class costs no more pairs.
     """
-    ends = found.groupBy("row").agg(F.collect_set("x").alias("x"), F.collect_set("y").alias("y"), F.count("*").alias("lines")).select("row", "lines", F.array_union("x", "y").alias("x"))
+    ends = found.groupBy("row").agg(F.collect_set("x").alias("x"), F.collect_set("y").alias("y")).select("row", F.array_union("x", "y").alias("x"))
     least = [F.array_min(F.transform("x", _affine(a, b))) for a, b in factors(p)]
-    hashed = ends.select("row", "lines", F.array(*least).alias("h"))
+    hashed = ends.select("row", F.array(*least).alias("h"))
     band = F.array(*(F.struct(F.lit(k).alias("band"), *(F.col("h")[k * p.hashes + i].alias(f"h{i}") for i in range(p.hashes))) for k in range(p.bands)))
-    bands = scratch.save(hashed.select("row", "lines", F.explode(band).alias("b")).select("row", "lines", "b.*"), "bands")
-    on = [c for c in bands.columns if c not in ("row", "lines")]
-    heads = bands.groupBy(*on).agg(F.min(F.struct("row", "lines")).alias("h"), F.count("*").alias("n")).where("n > 1")
-    heads = scratch.save(heads.select(*on, F.col("h.row").alias("head"), F.col("h.lines").alias("others")), "heads")
-    pairs = bands.join(small(heads), on).where((F.col("row") != F.col("head")) & (3 * F.least("lines", "others") >= 2 * F.greatest("lines", "others")))
-    pairs = scratch.save(pairs.select("row", "head").distinct(), "compared")
-    some = scratch.save(pairs.select("row").union(pairs.select("head")).distinct(), "some")
-    word = F.explode(F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))
-    parts = docs.join(small(some, 16), "row", "left_semi").distinct().select("row", word.alias("word"))
-    parts = parts.select("row", F.unhex(F.substring(F.md5(F.encode("word", "UTF-8")), 1, 24)).alias("part"), (F.length("word") + 1).cast("long").alias("size"))
-    parts = scratch.save(parts.groupBy("row", "part").agg(F.sum("size").alias("size")), "parts")
-    whole = scratch.save(parts.groupBy("row").agg(F.sum("size").alias("size")), "whole")
-    other = parts.select(F.col("row").alias("head"), "part", F.col("size").alias("other"))
-    both = pairs.join(parts, "row").join(other, ["head", "part"]).groupBy("row", "head").agg(F.sum(F.least("size", "other")).alias("both"))
-    sizes = both.join(whole, "row").join(whole.select(F.col("row").alias("head"), F.col("size").alias("other")), "head")
-    links = sizes.where(100 * F.col("both") >= p.near * (F.col("size") + F.col("other") - F.col("both")))
-    return scratch.save(components(links.select(F.col("row").alias("a"), F.col("head").alias("b")), scratch, "near").select(F.col("node").alias("row"), F.col("component").alias("sort")), "near")
+    bands = scratch.save(hashed.select("row", F.explode(band).alias("b")).select("row", "b.*"), "bands")
+    on = [c for c in bands.columns if c != "row"]
+    heads = scratch.save(bands.groupBy(*on).agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
+    pairs = bands.join(small(heads), on).where("row <> head").select("row", "head").distinct()
+    pairs = scratch.save(pairs, "compared")
+    scratch.drop("bands", "heads")
+    # what of each row of a pair the other has
+    two = scratch.save(pairs.select("row", F.col("head").alias("other")).union(pairs.select("head", "row")), "two")
+    some = scratch.save(two.select("row").distinct(), "some")
+    lines = scratch.save(found.join(small(some, 16), "row", "left_semi").select("row", "x", "y", "size"), "lines")
+    starts, stops = (lines.select(F.col("row").alias("other"), c, F.lit(True).alias(f"same_{c}")).distinct() for c in ("x", "y"))
+    seen = two.join(lines, "row").join(starts, ["other", "x"], "left").join(stops, ["other", "y"], "left")
+    shared = seen.groupBy("row", "other").agg(F.sum("size").alias("size"), F.sum(F.when(F.col("same_x") | F.col("same_y"), F.col("size")).otherwise(0)).alias("shared"))
+    enough = shared.where(100 * F.col("shared") >= p.near * F.col("size"))
+    links = enough.groupBy(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).agg(F.count("*").alias("n")).where("n = 2").select("a", "b")
+    return scratch.save(components(links, scratch, "near").select(F.col("node").alias("row"), F.col("component").alias("sort")), "near")
 
 
 def recurring(docs: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame, DataFrame]:
     """Of docs (row, text): (row, at, key) of all lines of enough tokens, and (key, docs, sorts) of those whose templates
     recur. Rows with one text have one row, and count once."""
-    start, leaf = F.substring_index("line", " ", p.depth), F.concat_ws(" ", F.col("tokens").cast("string"), F.substring_index("line", " ", p.depth))
-    found = _lines(docs).select("row", "at", _key(F.col("line")).alias("key"), _key(leaf).alias("leaf"), "tokens", _number(start).alias("x"), _number(F.substring_index("line", " ", -p.depth)).alias("y"))
+    start, end = _key(F.substring_index("line", " ", p.depth)), _key(F.substring_index("line", " ", -p.depth))
+    found = _lines(docs).select("row", "at", _key(F.col("line")).alias("key"), "tokens", (F.length("line") + 1).alias("size"), start.alias("start"), _number(end).alias("y"))
+    leaf = F.concat_ws(" ", F.col("tokens").cast("string"), "start")
+    found = found.select("row", "at", "key", "tokens", "size", leaf.alias("leaf"), _number(F.col("start")).alias("x"), "y")
     found = scratch.save(found.distinct(), "found")
-    near = _copies(docs, found, scratch, p)
+    near = _copies(found, scratch, p)
     rows = found.where(F.col("tokens") >= p.tokens)
     sorted_ = rows.select("row", "key", "leaf").distinct().join(small(near, 32), "row", "left").select("row", "key", "leaf", F.coalesce("sort", "row").alias("sort"))
     # documents are counted by (line, class) before they meet, then classes by line

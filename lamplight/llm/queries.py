@@ -143,14 +143,11 @@ WITH RECURSIVE texts AS (SELECT DISTINCT md5(text) AS row_, text FROM documents
   hashed AS (SELECT row_, {least} FROM numbers GROUP BY row_),
   bands AS ({bands}),
   heads AS (SELECT {on}, min(row_) AS head FROM bands GROUP BY {on} HAVING count(*) > 1),
-  counted AS (SELECT row_, count(*) AS n FROM found GROUP BY row_),
-  pairs AS (SELECT DISTINCT b.row_, head FROM bands b JOIN heads USING ({on}) JOIN counted x ON x.row_ = b.row_ JOIN counted y ON y.row_ = head WHERE b.row_ <> head AND 3 * least(x.n, y.n) >= 2 * greatest(x.n, y.n)),
-  some_ AS (SELECT row_ FROM pairs UNION SELECT head FROM pairs),
-  words AS (SELECT row_, unnest(regexp_extract_all(text, '[^ \t-\r]+')) AS word FROM texts JOIN some_ USING (row_)),
-  parts AS (SELECT row_, word, sum(length(word) + 1) AS size FROM words GROUP BY ALL),
-  whole AS (SELECT row_, sum(size) AS size FROM parts GROUP BY row_),
-  both_ AS (SELECT p.row_, p.head, sum(least(x.size, y.size)) AS n FROM pairs p JOIN parts x ON x.row_ = p.row_ JOIN parts y ON y.row_ = p.head AND y.word = x.word GROUP BY ALL),
-  alinks AS (SELECT b.row_ AS a, b.head AS b FROM both_ b JOIN whole x ON x.row_ = b.row_ JOIN whole y ON y.row_ = b.head WHERE 100 * n >= {p.near} * (x.size + y.size - n)),
+  pairs AS (SELECT DISTINCT b.row_, head FROM bands b JOIN heads USING ({on}) WHERE b.row_ <> head),
+  two AS (SELECT row_, head AS other FROM pairs UNION ALL SELECT head, row_ FROM pairs),
+  seen AS (SELECT t.row_, t.other, length(f.m) + 1 AS size, (f.begins IN (SELECT g.begins FROM found g WHERE g.row_ = t.other) OR f.ends IN (SELECT g.ends FROM found g WHERE g.row_ = t.other)) AS same FROM two t JOIN found f ON f.row_ = t.row_),
+  shared AS (SELECT row_, other, sum(size) AS size, coalesce(sum(size) FILTER (same), 0) AS n FROM seen GROUP BY ALL),
+  alinks AS (SELECT least(row_, other) AS a, greatest(row_, other) AS b FROM shared WHERE 100 * n >= {p.near} * size GROUP BY ALL HAVING count(*) = 2),
   links AS (SELECT a, b FROM alinks UNION SELECT b, a FROM alinks),
   walk(id, seen) AS (SELECT a, a FROM links UNION SELECT w.id, l.b FROM walk w JOIN links l ON l.a = w.seen),
   near AS (SELECT id AS row_, min(seen) AS sort FROM walk GROUP BY id),

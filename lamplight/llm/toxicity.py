@@ -3,8 +3,8 @@
 Every word of an example is a term, and so are those beginnings of words that tell the classes apart. Weights are TF-IDF,
 counted over all documents; terms that tell toxic from clean examples (likelihood ratio, with a bound for the number of
 terms looked at) weigh more. A bounded sample of labelled examples is indexed in blocks, with the largest weight of each term
-in each block. Queries go in batches: blocks are visited in order of their bounds and skipped by the queries whose k-th
-neighbour no bound in them can reach, so neighbours are exact. Similarities weigh the votes; a logistic curve fitted on
+in each block. Queries go in batches: the blocks of the highest bounds come first, and others are left out by the queries
+whose k-th neighbour their bounds can't reach, so neighbours are exact. Similarities weigh the votes; a logistic curve fitted on
 left-out examples calibrates them.
 """
 
@@ -37,7 +37,7 @@ class Params:
     are answered together. power: of a similarity as a vote. prior: weight of the base rate among votes. evidence: neighbours
     that are returned. calibrate: examples that the curve is fitted on, at most."""
 
-    examples: int = 10_000
+    examples: int = 2_000
     support: int = 3
     telling: float = 6.0
     k: int = 25
@@ -143,7 +143,7 @@ class Index:
         term = np.concatenate([t for t, _ in rows]) if n else term
         self.blocks = -(-n // size)
         often = self.column[term] >= 0
-        self.dense = np.zeros((len(common), self.blocks * size), np.float32)
+        self.dense = np.zeros((len(common), self.blocks * size))
         self.dense[self.column[term[often]], owner[often]] = weight[often]
         self.dense_most = self.dense.reshape(len(common), self.blocks, size).max(axis=2)
         term, owner, weight = term[~often], owner[~often], weight[~often]
@@ -162,46 +162,58 @@ class Index:
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query (terms, unit weights): (examples, similarities) of the k nearest with a term in common, and of all that
-        tie with the k-th; nearest first, then by doc_id. Similarities are sums in double precision, to 12 places."""
-        q, size = len(queries), self.p.block
+        tie with the k-th; nearest first, then by doc_id. Similarities are sums in double precision, to 12 places.
+
+        The blocks of the highest bounds give each query a k-th similarity at least; of the others, a query looks at those
+        whose bound reaches it.
+        """
+        q, size, total = len(queries), self.p.block, self.blocks * self.p.block
         common = np.zeros((q, len(self.dense)))
-        ranges, weights = [], []
+        ranges = []
         for i, (t, w) in enumerate(queries):
             c = self.column[t]
             common[i, c[c >= 0]] = w[c >= 0]
-            rare, w = t[c < 0], w[c < 0]
+            rare = t[c < 0]
             a, n = self.at[rare], self.at[rare + 1] - self.at[rare]
-            ranges.append((np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()), np.full(n.sum(), i)))
-            weights.append(np.repeat(w.astype(np.float64), n))
-        entry, owner, weight = np.concatenate([e for e, _ in ranges]), np.concatenate([o for _, o in ranges]), np.concatenate(weights)
-        block = self.entry_block[entry]
-        bound = common @ self.dense_most + np.bincount(owner * self.blocks + block, weight * self.entry_most[entry], q * self.blocks).reshape(q, self.blocks)
-        order = np.argsort(block, kind="stable")
-        entry, owner, weight = entry[order], owner[order], weight[order]
-        begin = np.searchsorted(block[order], np.arange(self.blocks + 1))
-        best, found = np.zeros((q, k)), []
-        for b in np.argsort(-bound.max(axis=0), kind="stable").tolist():
-            live = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= best[:, -1] - 1e-9))
-            if not len(live):
-                continue
-            score = common[live] @ self.dense[:, b * size : (b + 1) * size].astype(np.float64)
-            e, o, w = (x[begin[b] : begin[b + 1]] for x in (entry, owner, weight))
-            row = np.full(q, -1)
-            row[live] = np.arange(len(live))
-            e, o, w = e[row[o] >= 0], row[o[row[o] >= 0]], w[row[o] >= 0]
-            n = self.entry_at[e + 1] - self.entry_at[e]
-            post = np.repeat(self.entry_at[e] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            score += np.bincount(np.repeat(o, n) * size + self.post[post], np.repeat(w, n) * self.post_weight[post], len(live) * size).reshape(len(live), size)
-            score = np.round(score, 12)
-            best[live] = -np.partition(-np.concatenate((best[live], score), axis=1), range(k), axis=1)[:, :k]
-            i, j = np.nonzero((score > 0) & (score >= best[live, -1][:, None]))
-            found.append((live[i], j + b * size, score[i, j]))
-        who, what, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        keep = s >= best[who, -1]
-        who, what, s = who[keep], what[keep], s[keep]
+            ranges.append((a, n, np.full(len(rare), i), w[c < 0]))
+        a, n, owner, weight = (np.concatenate(x) for x in zip(*ranges, strict=True))
+        entry = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        owner, weight = np.repeat(owner, n), np.repeat(weight.astype(np.float64), n)
+        pair = owner * self.blocks + self.entry_block[entry]
+        bound = common @ self.dense_most + np.bincount(pair, weight * self.entry_most[entry], q * self.blocks).reshape(q, self.blocks)
+        score = np.zeros((q, total))
+
+        def look(live: np.ndarray) -> None:
+            """Adds the similarities of pairs of a query and a block."""
+            blocks = np.flatnonzero(live.any(axis=0))
+            columns = (blocks[:, None] * size + np.arange(size)).reshape(-1)
+            if len(blocks) == self.blocks:
+                np.add(score, common @ self.dense, out=score)
+            else:
+                score[:, columns] += common @ self.dense[:, columns]
+            e = np.flatnonzero(live.reshape(-1)[pair])
+            m = self.entry_at[entry[e] + 1] - self.entry_at[entry[e]]
+            post = np.repeat(self.entry_at[entry[e]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            score.reshape(-1)[:] += np.bincount(np.repeat(pair[e] * size, m) + self.post[post], np.repeat(weight[e], m) * self.post_weight[post], q * total)
+
+        first = np.zeros((q, self.blocks), bool)
+        first[:, np.argsort(-bound.sum(axis=0), kind="stable")[: max(1, -(-2 * k // size))]] = True
+        look(first)
+        last = lambda: np.partition(score, total - k, axis=1)[:, total - k, None] if total >= k else np.zeros((q, 1))
+        rest = (bound >= last() - 1e-9) & (bound > 0) & ~first
+        if rest.any():
+            look(rest)
+            score.reshape(q, self.blocks, size)[~(rest | first)] = 0
+        who, what = np.nonzero((score >= last() - 1e-9) & (score > 0))
+        s = np.round(score[who, what], 12)
         order = np.lexsort((self.ids[what], -s, who))
-        cut = np.searchsorted(who[order], np.arange(q + 1))
-        return [(what[order[x:y]], s[order[x:y]]) for x, y in zip(cut, cut[1:], strict=False)]
+        who, what, s = who[order], what[order], s[order]
+        cut = np.searchsorted(who, np.arange(q + 1))
+        out = []
+        for x, y in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+            y = y if y - x <= k else x + int(np.searchsorted(-s[x:y], -s[x + k - 1], "right"))
+            out.append((what[x:y], s[x:y]))
+        return out
 
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
         w = s**self.p.power
