@@ -235,7 +235,7 @@ def encode(docs: DataFrame, p: Params, keep_ids: bool = True) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     longer = F.char_length("text") > p.part
-    docs = docs.withColumn("text_key", F.when(longer, F.unhex(F.md5(F.encode("text", "UTF-8")))))
+    docs = docs.withColumn("text_key", F.when(longer, F.unhex(F.md5(F.col("text").cast("binary")))))
     short = _short(spread(docs.where(~longer)), p, keep_ids)
     big = docs.where(longer)
     found = _long(big, p, keep_ids).withColumnsRenamed({"doc_id": "_doc", "text_key": "_text"})

@@ -65,7 +65,7 @@ def masked(line: Column) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _key(line: Column) -> Column:
@@ -124,8 +124,8 @@ def recurring(docs: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame,
     start, end = _key(F.substring_index("line", " ", p.depth)), _key(F.substring_index("line", " ", -p.depth))
     found = _lines(docs).select("row", "at", _key(F.col("line")).alias("key"), "tokens", (F.length("line") + 1).alias("size"), start.alias("start"), _number(end).alias("y"))
     leaf = F.concat_ws(" ", F.col("tokens").cast("string"), "start")
-    found = found.select("row", "at", "key", "tokens", "size", leaf.alias("leaf"), _number(F.col("start")).alias("x"), "y")
-    found = scratch.save(found.distinct(), "found")
+    found = found.distinct().select("row", "at", "key", "tokens", "size", leaf.alias("leaf"), _number(F.col("start")).alias("x"), "y")
+    found = scratch.save(found, "found")
     near = _copies(found, scratch, p)
     rows = found.where(F.col("tokens") >= p.tokens)
     sorted_ = rows.select("row", "key", "leaf").distinct().join(small(near, 32), "row", "left").select("row", "key", "leaf", F.coalesce("sort", "row").alias("sort"))
@@ -178,6 +178,6 @@ def drop_lines(docs: DataFrame, p: Params = Params(), counts: tuple[str, str] =
     out = keyed.join(few.select(F.col("row").alias(same), F.col("at").alias(gone_at)), F.col(row) == F.col(same), "left")
     lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone_at, i))
     out = out.withColumn(kept, F.when(F.col(gone_at).isNotNull(), lines))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     dropped = F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at)).cast("long")
     return out.withColumns({counts[0]: count, counts[1]: dropped, "text": F.coalesce(F.array_join(kept, "\n"), "text")}).drop(row, same, gone_at, kept)

@@ -177,7 +177,7 @@ def _digest(found: np.ndarray) -> bytes | None:
 
 def text_key(docs: DataFrame):
     """128 bits of a text, an empty one's for null."""
-    return F.unhex(F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")))
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
 
 
 def bands(reps: DataFrame, p: Params) -> DataFrame:

@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, p: Params = Params()) -> DataFrame:
 def _key(docs: DataFrame):
     """128 bits of a row's doc_id, source and text, each null or not."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    return F.unhex(F.md5(F.encode(F.concat_ws("\0", part("doc_id"), part("source"), part("text")), "UTF-8")))
+    return F.unhex(F.md5(F.concat_ws("\0", part("doc_id"), part("source"), part("text")).cast("binary")))
 
 
 def copies(docs: DataFrame, p: Params = Params()) -> DataFrame:

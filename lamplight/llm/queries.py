@@ -45,7 +45,7 @@ def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linedup.drop_lines(table(spark, sf_dir, "documents"))
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    text = F.coalesce("text", F.lit("")).cast("binary")
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.octet_length(text).cast("long").alias("clean_bytes"), F.sha2(text, 256).alias("clean_sha256"))
 
 

@@ -44,7 +44,7 @@ def assign(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
-    text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(F.col("text").isNull(), "text").alias("text_key"))
     rows = scratch.save(rows.select("doc_id", "size", "text_crc32", "text_key", *(f().alias(f"d_{c}") for c, f in DIMENSIONS.items())), "rows")
     total = rows.agg(F.sum("size")).first()[0] or 0

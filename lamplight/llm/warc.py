@@ -225,7 +225,7 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, revisit_bytes: int =
     own, so a repeated task leaves a file that no row names. Payloads are shuffled only where digests that repeat are too many
     to broadcast; a revisit needs none.
     """
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
     repeated = rows.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.count("page_id").alias("n"), F.min("page_id").alias("first")).where("n > 1")
