@@ -161,9 +161,9 @@ def _fold(s: pd.Series) -> pd.Series:
 
 
 def slug(c: Column, prefix: str | None = None) -> Column:
-    """ASCII letters and digits in lower case, joined by underscores; `unknown` if none is left. ASCII stays in the JVM."""
-    ascii_ = F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(_fold(c))
-    name = F.lower(F.regexp_replace(F.regexp_replace(ascii_, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))
+    """ASCII letters and digits in lower case, joined by underscores; `unknown` if none is left. Every row passes through the
+    vectorised fold, which leaves ASCII as it is."""
+    name = F.lower(F.regexp_replace(F.regexp_replace(_fold(c), "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))
     name = F.when(F.coalesce(name, F.lit("")) == "", "unknown").otherwise(name)
     return F.concat(F.lit(f"{prefix}_"), name) if prefix else name
 

@@ -2,27 +2,56 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 SHORTEST = 3  #: characters of a label that is searched for
+FEW = 1000  #: labels up to which each text is searched for all of them; beyond, for those that share a trigram with it
+
+
+def folded(c: Column) -> Column:
+    """In lower case, character by character: places are those of the text itself. U+0130 alone would become two."""
+    return F.lower(F.translate(c, "\u0130", "i"))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _places(text: pd.Series, label: pd.Series) -> pd.Series:
+    def find(t: str, x: str) -> list[int]:
+        out, at = [], t.find(x)
+        while at >= 0:
+            out.append(at)
+            at = t.find(x, at + len(x))
+        return out
+
+    return pd.Series([find(t, x) for t, x in zip(text, label, strict=True)])
 
 
 def occurrences(texts: DataFrame, labels: DataFrame, text: str, on: list[str] | None = None) -> DataFrame:
     """texts x labels (entity_id, label): a row (start, end) per occurrence, left to right, none overlapping, in any case.
 
-    Labels are few and broadcast, unless on names columns that both share (a document's own labels).
+    With on, texts have labels of their own, by columns that both share. Without, a few labels go along with each text; more
+    are joined by their first trigram, so that a text meets only labels it may hold.
     """
     labels = labels.where(F.length("label") >= SHORTEST)
-    pairs = texts.join(labels, on) if on else texts.join(F.broadcast(labels))
-    low, label = F.lower(F.col(text)), F.lower("label")
-    pairs = pairs.where(F.contains(low, label))
-    # parts between matches; match i begins after the parts up to it and i labels
-    parts = F.split(low, F.concat(F.lit("\\Q"), label, F.lit("\\E")), -1)
-    lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))
-    starts = F.transform(lengths, lambda x, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) + i * F.length(label))
-    out = pairs.select(*texts.columns, *(c for c in labels.columns if c not in (on or [])), F.explode(starts).alias("start"))
-    return out.withColumn("start", F.col("start").cast("long")).withColumn("end", F.col("start") + F.length("label"))
+    rest = [c for c in labels.columns if c not in (on or [])]
+    texts_ = texts.withColumn("_low", folded(F.col(text)))
+    if on:
+        pairs = texts_.join(labels, on)
+    else:
+        held = labels.limit(FEW + 1).collect()
+        if len(held) <= FEW:
+            kind = labels.schema
+            each = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in kind)) for r in held)) if held else F.array().cast(f"array<{kind.simpleString()}>")
+            pairs = texts_.select("*", F.explode(F.filter(each, lambda x: F.contains(F.col("_low"), folded(x["label"])))).alias("_l")).select(*texts_.columns, "_l.*")
+        else:
+            chars = F.split("_low", "")
+            grams = F.array_distinct(F.zip_with(F.zip_with(chars, F.slice(chars, 2, F.length("_low")), F.concat), F.slice(chars, 3, F.length("_low")), F.concat))
+            pairs = texts_.select("*", F.explode(grams).alias("_gram")).join(labels.withColumn("_gram", F.substring(folded(F.col("label")), 1, SHORTEST)), "_gram").drop("_gram")
+    pairs = pairs.where(F.contains("_low", folded(F.col("label"))))
+    out = pairs.select(*texts.columns, *rest, F.explode(_places(F.col("_low"), folded(F.col("label")))).alias("start"))
+    return out.withColumn("end", F.col("start") + F.length("label"))
 
 
 def overlapping(segments: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFrame:

@@ -50,7 +50,11 @@ def segment_mentions(t, spark):
     return out.agg(F.count("*").alias("mentions"), F.array_join(F.array_sort(F.collect_set("entity_id")), ",").alias("entities"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_OCC}, found AS (SELECT conv_id, turn, entity_id, CAST(pos AS BIGINT) AS s, CAST(pos + n AS BIGINT) AS e FROM occ),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s, e DESC, entity_id) AS k FROM found),
+  walk AS (SELECT conv_id, turn, k, s, e, entity_id, e AS cursor, true AS taken FROM ranked WHERE k = 1
+    UNION ALL SELECT r.conv_id, r.turn, r.k, r.s, r.e, r.entity_id, CASE WHEN r.s >= w.cursor THEN r.e ELSE w.cursor END, r.s >= w.cursor FROM walk w JOIN ranked r ON r.conv_id = w.conv_id AND r.turn = w.turn AND r.k = w.k + 1)
+SELECT conv_id, turn, s AS start, e AS "end", entity_id FROM walk WHERE taken""")
 def mention_overlap_suppressed(t, spark):
     return mentions.suppress(_occurrences(t, spark), ["conv_id", "turn"], ["entity_id"])
 
@@ -113,11 +117,6 @@ def html_links(t, spark):
     return html.extract(t("pages"), "page_id", "url", "html").select("page_id", F.size("links").cast("long").alias("links"))
 
 
-@query()
-def html_title(t, spark):
-    return html.extract(t("pages"), "page_id", "url", "html").select("page_id", "title")
-
-
 @query()
 def html_core_text(t, spark):
     return html.extract(t("pages"), "page_id", "url", "html").select("page_id", "text", "raw_lines", "navigation_removed")
@@ -337,7 +336,7 @@ def date_range_filter(t, spark):
     return _dated(t).where(timeline.date_range(F.col("day"), "2024-01-05", "2024-01-20")).select("event_id", "day")
 
 
-@query("SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE contains(lower(concat_ws(' ', d.lang, d.source, substr(d.text, 1, 200))), 'the') AND l.quality = 1 GROUP BY d.doc_id")
+@query("SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE contains(lower(concat_ws(' ', d.lang, d.source, d.text)), 'the') AND l.quality = 1 GROUP BY d.doc_id")
 def facet_filter(t, spark):
     hay = timeline.haystack(F.col("lang"), F.col("source"), F.col("text"))
     return t("documents").where(hay.contains("the")).join(t("labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")

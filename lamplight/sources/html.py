@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.functions.text import NAVIGATION_LINES, NAVIGATION_STARTS
+from lamplight.functions.text import NAVIGATION_LINES, NAVIGATION_STARTS, source_id
 
 # Fixed values.
 REMOVED = {"script", "style", "noscript"}
@@ -94,8 +94,9 @@ def images(links: F.Column) -> F.Column:
 
 
 def toc_entries(pages: DataFrame, key: str) -> DataFrame:
-    """(key, index, label, url) of links to transcripts, with each link's own place."""
+    """(key, index, label, url, source_id) of links to transcripts, with each link's own place and its source's id."""
     out = pages.select(key, F.posexplode("links").alias("index", "l")).select(key, "index", F.col("l.text").alias("label"), "l.url")
+    out = out.withColumn("source_id", source_id(F.col("url")))
     return out.where(F.col("url").contains("/hadc/transcript/") & F.col("url").endswith(".htm"))
 
 

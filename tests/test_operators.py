@@ -149,3 +149,13 @@ def test_calls_retry_and_never_raise(spark):
 
     rows = {r["k"]: r for r in stages.call(spark.createDataFrame([(1, "ok"), (2, "bad")], "k long, p string"), "k", "p", client).collect()}
     assert (rows[1]["output"], rows[1]["status"], rows[2]["status"], rows[2]["attempts"]) == ("OK", "success", "error", 2)
+
+
+def test_occurrences_in_the_text_itself(spark):
+    texts = spark.createDataFrame([(1, "\u0130x the Cat, a CATalogue \\E cat"), (2, "no such thing")], "id long, t string")
+    labels = spark.createDataFrame([("c", "cat"), ("e", "\\E c"), ("s", "at")], "entity_id string, label string")
+    want = [("c", 7, 10), ("c", 14, 17), ("c", 27, 30), ("e", 24, 28)]
+    assert sorted((r["entity_id"], r["start"], r["end"]) for r in mentions.occurrences(texts, labels, "t").collect()) == want
+    many = labels.union(spark.range(1200).selectExpr("concat('n', id)", "concat('zq', id, 'w')"))
+    assert sorted((r["entity_id"], r["start"], r["end"]) for r in mentions.occurrences(texts, many, "t").collect()) == want
+    assert mentions.occurrences(texts, labels.limit(0), "t").count() == 0
