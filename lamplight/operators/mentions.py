@@ -46,8 +46,8 @@ def occurrences(texts: DataFrame, labels: DataFrame, text: str, on: list[str] |
             each = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in kind)) for r in held)) if held else F.array().cast(f"array<{kind.simpleString()}>")
             pairs = texts_.select("*", F.explode(F.filter(each, lambda x: F.contains(F.col("_low"), folded(x["label"])))).alias("_l")).select(*texts_.columns, "_l.*")
         else:
-            chars = F.split("_low", "")
-            grams = F.array_distinct(F.zip_with(F.zip_with(chars, F.slice(chars, 2, F.length("_low")), F.concat), F.slice(chars, 3, F.length("_low")), F.concat))
+            chars, join = F.split("_low", ""), lambda a, b: F.concat(a, b)
+            grams = F.array_distinct(F.zip_with(F.zip_with(chars, F.slice(chars, 2, F.length("_low")), join), F.slice(chars, 3, F.length("_low")), join))
             pairs = texts_.select("*", F.explode(grams).alias("_gram")).join(labels.withColumn("_gram", F.substring(folded(F.col("label")), 1, SHORTEST)), "_gram").drop("_gram")
     pairs = pairs.where(F.contains("_low", folded(F.col("label"))))
     out = pairs.select(*texts.columns, *rest, F.explode(_places(F.col("_low"), folded(F.col("label")))).alias("start"))
