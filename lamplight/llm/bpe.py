@@ -38,7 +38,7 @@ class Params:
     overlap: int = 256
     unsure: int = 3
     part: int = 32768
-    known: int = 200_000
+    known: int = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

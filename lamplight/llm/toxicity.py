@@ -43,7 +43,7 @@ class Params:
     k: int = 25
     block: int = 256
     dense: int = 256
-    batch: int = 128
+    batch: int = 64
     power: float = 2.0
     prior: float = 0.05
     evidence: int = 5
@@ -247,7 +247,7 @@ class Index:
 
     def score(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
         """(score, evidence) of each text, by the text alone."""
-        if len(self.known) > 20_000:
+        if len(self.known) > 2_000:
             self.known.clear()
         keys = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
         todo = {k: self.words.find(*terms(t)[:2]) for k, t in zip(keys, texts, strict=True) if k not in self.known}
