@@ -368,7 +368,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, p: Params) -> Da
             texts = batch.column(0).cast(pa.binary())
             for at in range(0, batch.num_rows, 512):
                 found = list(document_sets(texts.slice(at, 512).to_pylist(), p.words))
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["digest", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     named = wanted.where(F.col("rep") < NAMELESS).select(F.col("rep").alias("_id"))
@@ -376,8 +376,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, p: Params) -> Da
         held = rows.select("text")
     else:
         held = rows.join(small(named), "_id", "left_semi").select("text")
-    found = held.distinct().mapInArrow(run, "digest binary, set binary")
-    return scratch.save(found.join(small(wanted, 24), "digest").select("rep", "set").distinct(), "sets")
+    found = held.distinct().mapInArrow(run, "digest binary, set array<long>")
+    return scratch.save(found.join(small(wanted, 24), "digest").groupBy("rep", "digest").agg(F.first("set").alias("set")).select("rep", "set"), "sets")
 
 
 def _groups(docs: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
@@ -394,29 +394,26 @@ def _groups(docs: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
     wanted = scratch.save(reps.select("digest", "rep").join(small(found.select(F.col("node").alias("rep"))), "rep", "left_semi"), "wanted")
     sets = _sets(docs, wanted, scratch, p)
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yes = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), p.percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
-
     both = edges.distinct().join(sets.withColumnsRenamed({"rep": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "set": "y"}), "b")
-    links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = both.where(100 * shared >= p.percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    links = scratch.save(links, "links")
     parts = found.join(components(links, scratch, "verified").withColumnsRenamed({"component": "part"}), "node", "left")
     parts = scratch.save(parts.select("component", F.col("node").alias("rep"), F.coalesce("part", "node").alias("part")), "parts")
     tasks = rest_blocks(parts, "component", "rep", "part", p.set_block)
 
     def rest(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets, sig = [np.frombuffer(x, np.uint64) for x in pdf["set"]], _matrix(pdf["sig"].tolist())
+        sets, sig = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["set"]], _matrix(pdf["sig"].tolist())
         return _between(pdf, lambda left, right: verified(sets, left, right, *survivors(sig[left], sig[right], p), p.percent))
 
     a, b = _factors(p.hashes)
 
     def resign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("sig", pa.array([signature(np.frombuffer(x.as_py(), np.uint64), a, b).tobytes() for x in batch.column(1)], pa.binary()))
+            yield batch.append_column("sig", pa.array([signature(x.values.to_numpy(zero_copy_only=False).view(np.uint64), a, b).tobytes() for x in batch.column(1)], pa.binary()))
 
     apart = parts.join(parts.where("part <> component").select("component").distinct(), "component", "left_semi").select("rep").distinct()
-    signed_sets = sets.join(small(scratch.save(apart, "apart")), "rep", "left_semi").mapInArrow(resign, "rep long, set binary, sig binary")
+    signed_sets = sets.join(small(scratch.save(apart, "apart")), "rep", "left_semi").mapInArrow(resign, "rep long, set array<long>, sig binary")
     more = tasks.select("component", "rep", "i", "j", "rest").join(signed_sets, "rep").groupBy("component", "i", "j").applyInPandas(rest, "a long, b long")
     final = scratch.save(components(links.union(more), scratch, "final"), "final")
     named = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("node"))
