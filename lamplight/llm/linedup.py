@@ -91,14 +91,22 @@ def _lines(docs: DataFrame) -> DataFrame:
     return out.withColumn("tokens", _tokens(F.col("line")))
 
 
+def _once(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row of docs (row, text) for each row value. Only texts with copies are shuffled."""
+    copied = scratch.save(docs.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "copied")
+    several = docs.join(small(copied, 16), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    return docs.join(small(copied, 16), "row", "left_anti").union(several)
+
+
 def _copies(found: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
     """(row, sort) of the rows, with lines found (row, x, y, size), that have near copies; equal sorts are one class.
 
     In each bucket of a band, rows are compared with its least row alone, so that a large class costs no more pairs.
     """
-    ends = found.groupBy("row").agg(F.collect_set("x").alias("x"), F.collect_set("y").alias("y")).select("row", F.array_union("x", "y").alias("x"))
-    least = [F.array_min(F.transform("x", _affine(a, b))) for a, b in factors(p)]
-    hashed = ends.select("row", F.array(*least).alias("h"))
+    x = F.col("x")
+    least = [F.min(_affine(a, b)(x)).alias(f"m{i}") for i, (a, b) in enumerate(factors(p))]
+    hashed = found.select("row", F.explode(F.array("x", "y")).alias("x")).groupBy("row").agg(*least)
+    hashed = hashed.select("row", F.array(*(f"m{i}" for i in range(len(least)))).alias("h"))
     band = F.array(*(F.struct(F.lit(k).alias("band"), *(F.col("h")[k * p.hashes + i].alias(f"h{i}") for i in range(p.hashes))) for k in range(p.bands)))
     bands = scratch.save(hashed.select("row", F.explode(band).alias("b")).select("row", "b.*"), "bands")
     on = [c for c in bands.columns if c != "row"]
@@ -122,9 +130,9 @@ def recurring(docs: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame,
     """Of docs (row, text): (row, at, key) of all lines of enough tokens, and (key, docs, sorts) of those whose templates
     recur. Rows with one text have one row, and count once."""
     start, end = _key(F.substring_index("line", " ", p.depth)), _key(F.substring_index("line", " ", -p.depth))
-    found = _lines(docs).select("row", "at", _key(F.col("line")).alias("key"), "tokens", (F.length("line") + 1).alias("size"), start.alias("start"), _number(end).alias("y"))
+    found = _lines(_once(docs, scratch)).select("row", "at", _key(F.col("line")).alias("key"), "tokens", (F.length("line") + 1).alias("size"), start.alias("start"), _number(end).alias("y"))
     leaf = F.concat_ws(" ", F.col("tokens").cast("string"), "start")
-    found = found.distinct().select("row", "at", "key", "tokens", "size", leaf.alias("leaf"), _number(F.col("start")).alias("x"), "y")
+    found = found.select("row", "at", "key", "tokens", "size", leaf.alias("leaf"), _number(F.col("start")).alias("x"), "y")
     found = scratch.save(found, "found")
     near = _copies(found, scratch, p)
     rows = found.where(F.col("tokens") >= p.tokens)
