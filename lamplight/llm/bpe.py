@@ -13,9 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +31,7 @@ from lamplight.llm.common import Scratch, spread
 class Params:
     """ranks: a rank file (base64 token, rank); pattern: of pre-tokens, without lookbehind. chunk: characters of a chunk;
     overlap: characters it goes on into the next. unsure: last boundaries of a chunk that more text might move. part:
-    characters from which a text is dealt out, and of a part. known: pre-tokens whose ids a worker remembers."""
+    characters from which a text is dealt out, and of a part. known: pre-tokens whose ids a task remembers."""
 
     ranks: str
     pattern: str
@@ -38,7 +39,7 @@ class Params:
     overlap: int = 256
     unsure: int = 3
     part: int = 32768
-    known: int = 100_000
+    known: int = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,22 +47,48 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+class Known(dict):
+    """Ids of pre-tokens, merged when first asked for. Of those of up to 64 characters, the size last met are remembered, twice
+    as many at most: the generation before the last goes."""
+
+    def __init__(self, merge: Callable[[bytes], tuple[int, ...]], size: int):
+        self.merge, self.size, self.old = merge, size, {}
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.merge(piece.encode())
+        if len(piece) <= 64:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes with one rank file."""
 
     def __init__(self, p: Params):
         self.p, self.ranks, self.split = p, load_ranks(p.ranks), regex.compile(p.pattern)
         self.bytes = {rank: token for token, rank in self.ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.merge, p.known // 2)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token: the lowest-ranked neighbours merge first, the left of equals first.
 
-        A heap over a linked list: O(n log n) however long the piece is.
+        Short pieces are searched for the least rank, long ones keep a heap over a linked list: O(n log n) however long the
+        piece is.
         """
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
         n, ranks = len(piece), self.ranks
+        if n <= 64:
+            return self._merge_short(piece)
         after, before, end, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -83,8 +110,28 @@ class Codec:
             i = after[i]
         return tuple(out)
 
+    def _merge_short(self, piece: bytes) -> tuple[int, ...]:
+        get, none = self.ranks.get, len(self.ranks) + (1 << 30)
+        at = list(range(len(piece) + 1))
+        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            del at[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(piece[at[i] : at[i + 2]], none)
+            if i:
+                pairs[i - 1] = get(piece[at[i - 1] : at[i + 1]], none)
+        return tuple([self.ranks[piece[a:b]] for a, b in zip(at, at[1:], strict=False)])
+
+    def found(self, text: str) -> list[str] | None:
+        """Pre-tokens of a text by one search; None if something lies between them."""
+        found = [] if self.split.groups else self.split.findall(text)
+        return found if sum(map(len, found)) == len(text) else None
+
     def starts(self, text: str) -> list[int]:
         """Starts of the pre-tokens of a text, and its end, by one search."""
+        if (found := self.found(text)) is not None:
+            return [0, *accumulate(map(len, found))]
         return [m.start() for m in self.split.finditer(text)] + [len(text)]
 
     def boundaries(self, text: str) -> list[int]:
@@ -109,19 +156,11 @@ class Codec:
         return [*out, n]
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        if len(known) > self.p.known:
-            known.clear()
-        at = self.boundaries(text)
-        for a, b in zip(at, at[1:], strict=False):
-            piece = text[a:b]
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode())
-                if b - a <= 64:
-                    known[piece] = ids
-            out += ids
-        return out
+        pieces = self.found(text) if len(text) <= self.p.chunk + self.p.overlap else None
+        if pieces is None:
+            at = self.boundaries(text)
+            pieces = [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -167,6 +206,7 @@ def _short(docs: DataFrame, p: Params, keep_ids: bool) -> DataFrame:
                     made.append((len(ids), ids if keep_ids else None, *_digest(ids, c.decode(ids))))
                 n, ids, a, b = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(a), pa.array(b)], ["doc_id", "text_key", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        c.known.forget()  # the worker goes on to other stages
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, _OUT)
 
