@@ -13,25 +13,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate, chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Scratch, spread
+from lamplight.llm.common import Scratch, lean, spread
 
 
 @dataclass(frozen=True)
 class Params:
     """ranks: a rank file (base64 token, rank); pattern: of pre-tokens, without lookbehind. chunk: characters of a chunk;
     overlap: characters it goes on into the next. unsure: last boundaries of a chunk that more text might move. part:
-    characters from which a text is dealt out, and of a part. known: pre-tokens whose ids a task remembers."""
+    characters from which a text is dealt out, and of a part. known: pre-tokens whose ids a task remembers. together:
+    characters of texts that are merged together."""
 
     ranks: str
     pattern: str
@@ -40,6 +43,7 @@ class Params:
     unsure: int = 3
     part: int = 32768
     known: int = 200_000
+    together: int = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,27 +51,99 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class Known(dict):
-    """Ids of pre-tokens, merged when first asked for. Of those of up to 64 characters, the size last met are remembered, twice
-    as many at most: the generation before the last goes."""
+class Known:
+    """Ids of pre-tokens, as bytes of 32-bit numbers, merged when first asked for, those that are new together. Of those of up
+    to 64 characters, the size last met are remembered, twice as many at most: the generation before the last goes."""
 
-    def __init__(self, merge: Callable[[bytes], tuple[int, ...]], size: int):
-        self.merge, self.size, self.old = merge, size, {}
+    def __init__(self, merge: Callable[[list[bytes]], list[bytes]], size: int):
+        self.merge, self.size, self.now, self.old = merge, size, {}, {}
 
     def forget(self) -> None:
-        self.old = {}
-        self.clear()
+        self.now, self.old = {}, {}
+
+    def ids(self, texts: list[list[str]]) -> list[list[int]]:
+        """Of texts as pre-tokens."""
+        if len(self.now) >= self.size:
+            self.now, self.old = {}, self.now
+        new = []
+        for piece in set(chain.from_iterable(texts)).difference(self.now):
+            if (ids := self.old.get(piece)) is not None:
+                self.now[piece] = ids
+            else:
+                new.append(piece)
+        self.now.update(zip(new, self.merge([x.encode() for x in new]), strict=True))
+        out = [np.frombuffer(b"".join(map(self.now.__getitem__, pieces)), np.int32).tolist() for pieces in texts]
+        for piece in new:
+            if len(piece) > 64:
+                del self.now[piece]
+        return out
+
+
+class Pairs:
+    """Merges many pre-tokens at once: each round merges one pair of every pre-token, its lowest-ranked, the left of equals.
+
+    Pre-tokens are columns of a matrix. keys: left * most + right of all pairs whose union is a token; values: its rank.
+    """
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.merge(piece.encode())
-        if len(piece) <= 64:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+    #: Bytes of a pre-token at most, so that a place takes BITS; columns of a matrix.
+    MOST, BITS, COLUMNS = 64, 6, 2048
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.most = max(ranks.values(), default=0) + 1
+        self.kind, self.none = (np.int32, 1 << 24) if self.most <= 1 << 24 else (np.int64, 1 << 40)  # none: beyond all ranks
+        found = [(a * self.most + b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        self.keys, self.values = np.append(pairs[:, 0], np.iinfo(np.int64).max), np.append(pairs[:, 1], self.none).astype(self.kind)
+        self.byte = np.array([ranks[bytes([x])] for x in range(256)], np.int32)
+        self.first = self.rank(np.repeat(self.byte, 256), np.tile(self.byte, 256))
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * self.most + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.values[at], self.kind(self.none))
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of the pieces, of 1 to MOST bytes."""
+        out, size = [b""] * len(pieces), np.fromiter(map(len, pieces), np.int32, len(pieces))
+        order = np.argsort(size, kind="stable")
+        for x in range(0, len(pieces), self.COLUMNS):
+            self._columns(pieces, order[x : x + self.COLUMNS], size, out)
+        return out
+
+    def _columns(self, pieces: list[bytes], at: np.ndarray, size: np.ndarray, out: list[bytes]) -> None:
+        size = size[at]
+        width, none = int(size.max()), self.kind(self.none << self.BITS)
+        raw = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in at.tolist()]), np.uint8).reshape(len(at), width).T
+        ids, places = self.byte[raw], np.arange(width, dtype=self.kind)[:, None]
+        # of each pair: its rank, then its place, so that a minimum is the left of the lowest-ranked; a last row of none. What
+        # is none stays so however often it moves up a place
+        nothing = none + self.kind(self.MOST)
+        pairs = np.full((width, len(at)), nothing)
+        pairs[:-1] = np.where(places[1:] < size, self.first[raw[:-1] * np.int32(256) + raw[1:]] << self.BITS | places[:-1], nothing)
+        pairs[pairs >= none] = nothing
+        while True:
+            least = pairs.min(axis=0)
+            live = np.flatnonzero(least < none)
+            if len(live) < len(at):
+                done = np.flatnonzero(least >= none)
+                rows, step = ids[:, done].T.tobytes(), 4 * len(ids)
+                for k, i, n in zip(range(0, len(rows), step), at[done].tolist(), size[done].tolist(), strict=True):
+                    out[i] = rows[k : k + 4 * n]
+                if not len(live):
+                    return
+                at, size, least, ids, pairs = at[live], size[live], least[live], ids[:, live], pairs[:, live]
+            size = size - 1
+            place, merged, column = least & ((1 << self.BITS) - 1), least >> self.BITS, np.arange(len(at))
+            after = places[: len(ids) - 1] > place
+            ids, pairs = np.where(after, ids[1:], ids[:-1]), np.where(after, pairs[1:] - 1, pairs[:-1])
+            ids[place, column] = merged
+            pairs[-1] = nothing
+            pairs[place, column] = nothing
+            has_right, has_left = np.flatnonzero(place + 1 < size), np.flatnonzero(place > 0)
+            right, left = place[has_right], place[has_left] - 1
+            ranks = self.rank(np.concatenate((merged[has_right], ids[left, has_left])), np.concatenate((ids[right + 1, has_right], merged[has_left])))
+            where, which = np.concatenate((right, left)), np.concatenate((has_right, has_left))
+            pairs[where, which] = np.where(ranks < self.none, ranks << self.BITS | where, nothing)
 
 
 class Codec:
@@ -76,7 +152,17 @@ class Codec:
     def __init__(self, p: Params):
         self.p, self.ranks, self.split = p, load_ranks(p.ranks), regex.compile(p.pattern)
         self.bytes = {rank: token for token, rank in self.ranks.items()}
-        self.known = Known(self.merge, p.known // 2)
+        self.pairs, self.known = Pairs(self.ranks), Known(self.merge_all, p.known // 2)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """merge() of each of the pieces, as bytes of 32-bit numbers; many short ones go together."""
+        out = [array("i", self.merge(x)).tobytes() if x in self.ranks or len(x) > Pairs.MOST else b"" for x in pieces]
+        rest = [i for i, ids in enumerate(out) if not ids]
+        # fewer don't pay for the rounds
+        found = self.pairs.merge([pieces[i] for i in rest]) if len(rest) >= 200 else [array("i", self.merge(pieces[i])).tobytes() for i in rest]
+        for i, ids in zip(rest, found, strict=True):
+            out[i] = ids
+        return out
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token: the lowest-ranked neighbours merge first, the left of equals first.
@@ -155,12 +241,27 @@ class Codec:
             out += [b for b in own if begin <= b < stop]
         return [*out, n]
 
-    def encode(self, text: str) -> list[int]:
-        pieces = self.found(text) if len(text) <= self.p.chunk + self.p.overlap else None
-        if pieces is None:
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text."""
+        found = self.found(text) if len(text) <= self.p.chunk + self.p.overlap else None
+        if found is None:
             at = self.boundaries(text)
-            pieces = [text[a:b] for a, b in zip(at, at[1:], strict=False)]
-        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+            found = [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return found
+
+    def encode(self, text: str) -> list[int]:
+        return self.known.ids([self.pieces(text)])[0]
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """encode() of each text; texts of p.together characters share a look at what is known."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self.pieces(text))
+            size += len(text)
+            if size >= self.p.together:
+                yield from self.known.ids(held)
+                held, size = [], 0
+        yield from self.known.ids(held)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -201,14 +302,13 @@ def _short(docs: DataFrame, p: Params, keep_ids: bool) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 made = []
-                for text in part.column(2).to_pylist():
-                    ids = c.encode(text)
+                for ids in c.encode_all(part.column(2).to_pylist()):
                     made.append((len(ids), ids if keep_ids else None, *_digest(ids, c.decode(ids))))
                 n, ids, a, b = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(a), pa.array(b)], ["doc_id", "text_key", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
         c.known.forget()  # the worker goes on to other stages
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, _OUT)
+    return docs.select("doc_id", "text_key", "text").mapInArrow(lean(run), _OUT)
 
 
 def _long(docs: DataFrame, p: Params, keep_ids: bool) -> DataFrame:
@@ -223,7 +323,7 @@ def _long(docs: DataFrame, p: Params, keep_ids: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([k], pa.int32()), pa.array([begin], pa.int64()), pa.array([text[begin : begin + p.part + p.overlap]])], ["doc_id", "text_key", "k", "begin", "chunk"])
 
     once = docs.groupBy(*key).agg(F.first("text").alias("text"))
-    chunks = scratch.save(once.mapInArrow(cut, "doc_id long, text_key binary, k int, begin long, chunk string").repartition(*key, "k"), "chunks")
+    chunks = scratch.save(once.mapInArrow(lean(cut), "doc_id long, text_key binary, k int, begin long, chunk string").repartition(*key, "k"), "chunks")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +334,7 @@ def _long(docs: DataFrame, p: Params, keep_ids: bool) -> DataFrame:
                 tails.append([begin + b for b in sure if b >= p.part])
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in range(4)), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], ["doc_id", "text_key", "k", "begin", "head", "tail"])
 
-    near = chunks.mapInArrow(edges, "doc_id long, text_key binary, k int, begin long, head array<long>, tail array<long>")
+    near = chunks.mapInArrow(lean(edges), "doc_id long, text_key binary, k int, begin long, head array<long>, tail array<long>")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +106,27 @@ def small(df: DataFrame, width: int | None = None, size: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def trim() -> None:
+    """Gives memory that was freed back to the system. What allocators can't give back stays."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; at a task's end the worker, which waits beside the executor for other tasks, holds neither its
+    batches nor the broadcasts it read, which the next task reads again."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for x in sent:
+            vars(x).pop("_value", None)
+        trim()
+
+    return task
+
+
 def spread(df: DataFrame, size: int = 16 << 20, part: int = 1 << 20) -> DataFrame:
     """A small table, which may lie in one file of one row group, dealt to all cores for work that is long a row; others as
     they are read."""

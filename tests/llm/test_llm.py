@@ -423,6 +423,18 @@ def test_bpe_query_is_the_library(spark):
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), a, b)
 
 
+def test_pairs_merge_as_one_by_one():
+    c = bpe.Codec(queries.tokenizer())
+    r = random.Random(3)
+    pieces = [bytes(r.choice(b"aeinst \n\xc3\xa9\xe2\x80'1") for _ in range(r.randint(1, 90))) for _ in range(3000)]
+    pieces += [bytes([x]) * n for x in b"a =\xff" for n in range(1, 65)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in c.merge_all(pieces)] == [list(c.merge(x)) for x in pieces]
+    looks, merge = [], c.pairs.merge
+    c.pairs.merge = lambda x: looks.append(len(x)) or merge(x)
+    texts = [words(400, i) for i in range(8)]
+    assert list(c.encode_all(texts)) == [c.encode(t) for t in texts] and len(looks) == 1  # new ones of all texts go together
+
+
 def test_media(spark, odd):
     for n in (64, 128, 64 * 33, 64 * 2500):
         raw = random.Random(n).randbytes(n)
@@ -525,6 +537,21 @@ def test_mix_takes_what_it_says(spark):
     assert {r["doc_id"]: r["count"] for r in got} == {k: n for k, n in each.items() if n}
 
 
+def test_workers_keep_nothing(spark):
+    docs = spark.createDataFrame([(i, words(300, i)) for i in range(40)], "doc_id long, text string").repartition(2)
+    sent = spark.sparkContext.broadcast(np.ones(1000))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.select(["doc_id"]).filter((sent.value[: batch.num_rows] > 0).tolist())
+
+    def held(batches):
+        yield from common.lean(run, sent)(batches)
+        assert "_value" not in vars(sent)
+
+    assert sorted(r[0] for r in docs.mapInArrow(held, "doc_id long").collect()) == list(range(40))
+
+
 def test_toxic_rows_go_by_text(spark):
     rows = [(i, words(40, i) + (" vile rotten vile" if i % 5 == 0 else ""), "en", "s", 0) for i in range(600)]
     rows += [(None, words(40, 900) + " vile rotten vile", "en", "s", 0), (None, words(40, 901), "en", "s", 0), (700, words(40, 902), "en", "s", 0), (700, words(40, 903) + " rotten vile vile", "en", "s", 0), (601, None, "en", "s", 0), (602, "", "en", "s", 0)]
