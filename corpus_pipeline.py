@@ -14,9 +14,21 @@ from lamplight.llm.common import Scratch, free, table
 from lamplight.llm.queries import tokenizer
 
 
+#: Rows of a batch between an executor and its Python worker. Both hold whole batches, which have 10,000 rows by default.
+BATCH = 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the batches of this session from now on, for what a stage returns runs later; a lower bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the rows whose texts are predicted toxic. Labels are learned from documents that came in. Rows of equal texts,
     whatever their doc_ids, go or stay together; null and empty texts stay."""
+    bound_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -31,6 +43,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, that of the smallest doc_id, null last; equal rows are copies too. Texts without
     words stay."""
+    bound_batches(spark)
     return minhash.keep_one(docs, minhash.Params(percent=80))
 
 
@@ -42,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; a null text has the tokens of an empty one."""
+    bound_batches(spark)
     return bpe.encode(docs, tokenizer(), keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Scratch, components, free, small, spread
+from lamplight.llm.common import Scratch, components, free, lean, small, spread
 
 PIECE = 1 << 19  #: bytes hashed at once
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -168,7 +168,7 @@ def sign(docs: DataFrame, p: Params) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), batch.column(1).slice(at, 512), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_key", "n_shingles", "digest", "sig"])
 
     rows = spread(docs.select(F.col("doc_id").cast("long"), text_key(docs).alias("text_key"), F.col("text").cast("string")))
-    return rows.mapInArrow(run, "doc_id long, text_key binary, n_shingles long, digest binary, sig binary")
+    return rows.mapInArrow(lean(run), "doc_id long, text_key binary, n_shingles long, digest binary, sig binary")
 
 
 def _digest(found: np.ndarray) -> bytes | None:
@@ -195,7 +195,7 @@ def bands(reps: DataFrame, p: Params) -> DataFrame:
                 key = _mix(key * np.uint64(_MULT) + sig[:, :, r])
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, width))], ["band", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "band long, rep long")
+    return reps.select("rep", "sig").mapInArrow(lean(run), "band long, rep long")
 
 
 def least_matches(p: Params) -> list[tuple[int, int]]:
@@ -344,7 +344,7 @@ def _candidates(reps: DataFrame, scratch: Scratch, p: Params) -> tuple[DataFrame
 
     stars = members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     stars = stars.join(sigs.withColumnsRenamed({"rep": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "sig": "y"}), "b")
-    near = scratch.save(stars.select("a", "b", "x", "y").mapInArrow(looks, "a long, b long"), "near")
+    near = scratch.save(stars.select("a", "b", "x", "y").mapInArrow(lean(looks), "a long, b long"), "near")
     parts = components(near, scratch, "stars")
     parts = members.select("band", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("part"))
     tasks = rest_blocks(scratch.save(parts, "parts"), "band", "rep", "part", p.block)
@@ -376,7 +376,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, p: Params) -> Da
         held = rows.select("text")
     else:
         held = rows.join(small(named), "_id", "left_semi").select("text")
-    found = held.distinct().mapInArrow(run, "digest binary, set array<long>")
+    found = held.distinct().mapInArrow(lean(run), "digest binary, set array<long>")
     return scratch.save(found.join(small(wanted, 24), "digest").groupBy("rep", "digest").agg(F.first("set").alias("set")).select("rep", "set"), "sets")
 
 
@@ -413,7 +413,7 @@ def _groups(docs: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
             yield batch.append_column("sig", pa.array([signature(x.values.to_numpy(zero_copy_only=False).view(np.uint64), a, b).tobytes() for x in batch.column(1)], pa.binary()))
 
     apart = parts.join(parts.where("part <> component").select("component").distinct(), "component", "left_semi").select("rep").distinct()
-    signed_sets = sets.join(small(scratch.save(apart, "apart")), "rep", "left_semi").mapInArrow(resign, "rep long, set array<long>, sig binary")
+    signed_sets = sets.join(small(scratch.save(apart, "apart")), "rep", "left_semi").mapInArrow(lean(resign), "rep long, set array<long>, sig binary")
     more = tasks.select("component", "rep", "i", "j", "rest").join(signed_sets, "rep").groupBy("component", "i", "j").applyInPandas(rest, "a long, b long")
     final = scratch.save(components(links.union(more), scratch, "final"), "final")
     named = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("node"))

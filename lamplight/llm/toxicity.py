@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.llm.common import Scratch, spread
+from lamplight.llm.common import Scratch, lean, spread
 from lamplight.llm.minhash import word_hashes
 from lamplight.llm.resample import bounded, learned
 
@@ -279,7 +279,7 @@ def _examples(docs: DataFrame, labels: DataFrame, scratch: Scratch, p: Params) -
                 found = [terms(x.as_py()) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([h.tobytes() for h, _, _ in found], pa.binary()), pa.array([n.tobytes() for _, n, _ in found], pa.binary()), pa.array([w for _, _, w in found], pa.int32())], ["doc_id", "y", "hashes", "counts", "words"])
 
-    rows = rows.mapInArrow(count, "doc_id long, y int, hashes binary, counts binary, words int")
+    rows = rows.mapInArrow(lean(count), "doc_id long, y int, hashes binary, counts binary, words int")
     same = rows.groupBy("hashes", "counts", "words").agg(F.min("doc_id").alias("doc_id"), (F.avg("y") >= 0.5).cast("int").alias("y"))
     return scratch.save(same, "examples"), (seen[1] or 0) / max(1, seen[0])
 
@@ -297,7 +297,7 @@ def _frequencies(docs: DataFrame, words) -> DataFrame:
         for at in range(0, len(held), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(held[at : at + 65536].astype(np.int32)), pa.array(seen[held[at : at + 65536]])], ["term", "n"])
 
-    return docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run, words), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Index | float:
@@ -355,7 +355,7 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
                     found = sent.value.score(part.column(1).to_pylist())
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], kind)], ["doc_id", "score", "evidence"])
 
-        scored = rows.mapInArrow(judge, f"doc_id long, score double, evidence {evidence}")
+        scored = rows.mapInArrow(lean(judge, sent), f"doc_id long, score double, evidence {evidence}")
     held = F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(5)) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
@@ -377,4 +377,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Data
                 part = batch.slice(x, 1024)
                 yield part.filter(pa.array([s < 0.5 for s, _ in sent.value.score(part.column(at).cast(pa.string()).to_pylist())], pa.bool_()))
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(lean(run, sent), docs.schema)

@@ -9,6 +9,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -552,6 +553,18 @@ def test_workers_keep_nothing(spark):
     assert sorted(r[0] for r in docs.mapInArrow(held, "doc_id long").collect()) == list(range(40))
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_toxic, corpus_pipeline.drop_copies, corpus_pipeline.encode_tokens])
+def test_stages_bound_batches(spark, stage):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    try:
+        stage(spark, common.table(spark, SF, "documents"), SF)
+        seen = spark.range(0, 4000, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "id", pa.array([b.num_rows])) for b in batches), "id long")
+        assert max(r[0] for r in seen.collect()) <= corpus_pipeline.BATCH
+    finally:
+        spark.conf.unset(key)
+
+
 def test_toxic_rows_go_by_text(spark):
     rows = [(i, words(40, i) + (" vile rotten vile" if i % 5 == 0 else ""), "en", "s", 0) for i in range(600)]
     rows += [(None, words(40, 900) + " vile rotten vile", "en", "s", 0), (None, words(40, 901), "en", "s", 0), (700, words(40, 902), "en", "s", 0), (700, words(40, 903) + " rotten vile vile", "en", "s", 0), (601, None, "en", "s", 0), (602, "", "en", "s", 0)]
