@@ -8,11 +8,13 @@ import ctypes
 import functools
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from py4j.protocol import Py4JError
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,11 @@ BROADCAST_BYTES = 64 << 20
 #: Bytes that a row of a broadcast side takes besides its values.
 ROW_BYTES = 24
 
+#: Seconds between two times that the driver gives memory back.
+TRIM_S = 5.0
+
 _OWN: dict[str, str] = {}  #: temporary folders by application
+_TRIMMED: dict[str, float] = {}  #: when the driver of an application last gave memory back
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +72,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         df.write.mode("overwrite").options(**options).parquet(self.path(name))
+        trim_driver(self.spark)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -113,6 +120,25 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """trim() in the driver, for its Python and its JVM; nothing within TRIM_S of the last time.
+
+    Spark's driver starts threads for exchanges, broadcasts and queries, hundreds a minute where tables are small, and the C
+    library keeps what they freed, outside the heap. A JVM that has no such command (before 17.0.9, or not on glibc) keeps it.
+    """
+    app, now = spark.sparkContext.applicationId, time.monotonic()
+    if now - _TRIMMED.get(app, float("-inf")) < TRIM_S:
+        return
+    _TRIMMED[app] = now
+    trim()
+    with contextlib.suppress(Py4JError):
+        jvm, args = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface, for the server's own class can't be reached
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow; at a task's end the worker, which waits beside the executor for other tasks, holds neither its
     batches nor the broadcasts it read, which the next task reads again."""

@@ -553,6 +553,32 @@ def test_workers_keep_nothing(spark):
     assert sorted(r[0] for r in docs.mapInArrow(held, "doc_id long").collect()) == list(range(40))
 
 
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """What the driver's JVM freed outside its heap goes back to the system as tables are written, but not at each of them."""
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    resident = lambda: int(open(f"/proc/{pid}/statm").read().split()[1]) * 4096 >> 20
+    scratch = common.Scratch(spark, "t")
+
+    def dropped():
+        held = [jvm.java.util.zip.Deflater() for _ in range(3000)]
+        kept = held[::8]  # among the others, so that these don't go by themselves
+        for x in (x for i, x in enumerate(held) if i % 8):
+            x.end()
+        before = resident()
+        scratch.save(spark.range(1), "t")
+        after = resident()
+        for x in kept:
+            x.end()
+        return before - after
+
+    scratch.save(spark.range(1), "t")
+    monkeypatch.setattr(common, "_TRIMMED", {}, raising=False)
+    monkeypatch.setattr(common, "TRIM_S", 1e6, raising=False)
+    first, second = dropped(), dropped()
+    assert first > 100 and second < 100, (first, second)
+
+
 @pytest.mark.parametrize("stage", [corpus_pipeline.drop_toxic, corpus_pipeline.drop_copies, corpus_pipeline.encode_tokens])
 def test_stages_bound_batches(spark, stage):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
