@@ -60,6 +60,7 @@ def find_entity(refs: DataFrame, pool: DataFrame, ref: str) -> DataFrame:
     whose label variants equals any of the reference's. pool: (entity_id, ordinal, labels)."""
     by_id = refs.where(F.coalesce("canonical_id", F.lit("")) != "").join(pool.select(F.col("entity_id").alias("canonical_id")).distinct(), "canonical_id").select(ref, F.col("canonical_id").alias("entity_id"), F.lit(-1).cast("long").alias("o"))
     names = pool.select("entity_id", F.col("ordinal").cast("long").alias("o"), F.explode("labels").alias("l")).select("entity_id", "o", F.explode(label_variants(F.col("l"))).alias("v"))
+    names = names.groupBy("v").agg(F.min_by("entity_id", "o").alias("entity_id"), F.min("o").alias("o"))  # the first of a label: no reference meets the others
     by_label = refs.select(ref, F.explode(label_variants(F.col("label"))).alias("v")).join(names, "v").select(ref, "entity_id", "o")
     best = by_id.union(by_label).groupBy(ref).agg(F.min_by("entity_id", "o").alias("entity_id"))
     return refs.join(best, ref, "left")

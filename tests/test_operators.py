@@ -11,6 +11,12 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column.alias("x")).first()["x"]
 
 
+def most_rows(plan):
+    """Rows out of the plan's step that gave the most; the plan has run, without adaptive execution."""
+    held = plan.metrics().get("numOutputRows")
+    return max([held.get().value() if held.isDefined() else 0, *(most_rows(plan.children().apply(i)) for i in range(plan.children().size()))])
+
+
 def test_lines_and_markers(spark):
     body = "Title\n[Image, Volume I, Page 19]\nQ. What?\nA Yes.\n[Image, Volume I, Page 20]\nMR. NAME: hello"
     rows = segments.content_blocks(segments.line_rows(spark.createDataFrame([("d", body)], "id string, t string"), "id", "t"), "id").orderBy("line_index").collect()
@@ -44,6 +50,18 @@ def test_find_entity_prefers_ids_then_pool_order(spark):
     assert {r["r"]: r["entity_id"] for r in resolve.find_entity(refs, pool, "r").collect()} == {1: "p2", 2: "p1", 3: None, 4: "p1"}
 
 
+def test_find_entity_joins_the_first_of_a_label_alone(spark):
+    pool = spark.range(2000).select(F.concat(F.lit("p"), "id").alias("entity_id"), F.col("id").alias("ordinal"), F.array(F.lit("Same (name)")).alias("labels"))
+    refs = spark.range(2000).select(F.col("id").alias("r"), F.lit(None).cast("string").alias("canonical_id"), F.lit("same").alias("label"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = resolve.find_entity(refs, pool, "r")
+        assert {r["entity_id"] for r in found.collect()} == {"p0"}
+        assert most_rows(found._jdf.queryExecution().executedPlan()) <= 4000  # 4,000,000 pairs if each met all
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_occurrences_and_suppression(spark):
     texts = spark.createDataFrame([("d", "Aaaa banana BANANA")], "id string, t string")
     labels = spark.createDataFrame([("e", "ana"), ("f", "banana"), ("g", "aa")], "entity_id string, label string")
