@@ -18,7 +18,7 @@ for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"),
 @query(f"SELECT page_id, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS title FROM pages")
 def html_title(t, spark):
     """The title, entities resolved and blanks collapsed."""
-    return html.extract(t("pages"), "page_id", "url", "html").select("page_id", "title")
+    return html.extract(t("pages"), "page_id", "url", "html", cut_titles=True).select("page_id", "title")
 
 
 @query("""WITH links AS (SELECT s_suppkey, i, CASE (s_suppkey + i) % 3 WHEN 0 THEN '/hadc/transcript/Volume' || i || '/p.' || s_suppkey || '.htm' WHEN 1 THEN '/hadc/transcript/x.pdf' ELSE '/hadc/exhibits/y.htm' END AS url FROM supplier, range(5) r(i))
