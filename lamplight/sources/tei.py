@@ -25,6 +25,7 @@ STRAY_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)"
 REF_ATTRIBUTES = ["who", "corresp", "resp", "source", "ana", "ref"]
 CHARACTERS = r"#char-(\d+)-(\d+)$"
 INLINE_SOURCE, STANDOFF_SOURCE, EXTRACTED_SOURCE = "llm_tei", "llm_tei_annotation", "llm_extraction"
+RUN_ON = "run-on"  #: rend of a paragraph that no blank parts from its speaker
 DECLARATION = "<?xml version='1.0' encoding='utf-8'?>"
 
 ET.register_namespace("", TEI_NS)
@@ -116,14 +117,16 @@ def block_text(block: ET.Element) -> tuple[str, list[dict]]:
     """A block's text, with the mentions in it by offset: a paragraph's own, or a speech's speaker and paragraphs."""
     if name(block) == "p":
         return (text := plain(block)), spans(block, text)
-    speaker = next((e.text or "" for e in block if name(e) == "speaker"), "")
-    texts, found, at = [speaker], [], len(speaker.strip()) + 1 if speaker.strip() else 0
+    text, found = next((e.text or "" for e in block if name(e) == "speaker"), "").strip(), []
+    at = len(text)
     for e in block:
-        if name(e) == "p" and (text := plain(e)):
-            found += [s | {"start": s["start"] + at, "end": s["end"] + at} for s in spans(e, text)]
-            texts.append(text)
-            at += len(text) + 1
-    return squeeze(" ".join(texts)), found
+        if name(e) == "p" and (words := plain(e)):
+            gap = " " if at and e.get("rend") != RUN_ON else ""
+            at += len(gap)
+            found += [s | {"start": s["start"] + at, "end": s["end"] + at} for s in spans(e, words)]
+            text += gap + words
+            at += len(words)
+    return squeeze(text), found
 
 
 def annotations(root: ET.Element, inline: dict[str, dict]) -> list[dict]:
@@ -332,14 +335,16 @@ def element(local: str, attributes: list[Column], content: Column) -> Column:
     return F.when(F.coalesce(content, F.lit("")) == "", F.concat(start, F.lit(" />"))).otherwise(F.concat(start, F.lit(">"), escape(content), F.lit(f"</{local}>")))
 
 
-def speech(attributes: list[Column], speaker: Column, text: Column, depth: int) -> Column:
+def speech(attributes: list[Column], speaker: Column, text: Column, depth: int, joined: Column | None = None) -> Column:
     pad = "\n" + "  " * depth
-    return F.concat(F.lit("<sp"), *attributes, F.lit(f">{pad}  "), element("speaker", [], speaker), F.lit(f"{pad}  "), element("p", [], text), F.lit(f"{pad}</sp>"))
+    rend = [] if joined is None else [attribute("rend", F.when(joined, F.lit(RUN_ON)))]
+    return F.concat(F.lit("<sp"), *attributes, F.lit(f">{pad}  "), element("speaker", [], speaker), F.lit(f"{pad}  "), element("p", rend, text), F.lit(f"{pad}</sp>"))
 
 
 def build(source: Column, url: Column, title: Column, kind: Column, fetched: Column, sha: Column, text: Column, images: Column, publisher: str = "Generated from normalized source text.") -> Column:
     """A text's lines as a TEI document: markers as page breaks with the image of the same place, questions and answers and
-    named speakers as speeches, other lines as paragraphs with their number and kind."""
+    named speakers as speeches, other lines as paragraphs with their number and kind. Lines read back as they were: where no
+    blank follows the speaker, the paragraph says so."""
     every = F.transform(lines(text), lambda x, i: F.struct(x.alias("line"), i.alias("i"), marker_label(x).alias("label"), classify_line(x).alias("kind")))
     marks = F.filter(every, lambda x: x["label"].isNotNull())
     facs = F.map_from_entries(F.transform(marks, lambda x, k: F.struct(x["i"], F.get(images, k))))
@@ -348,8 +353,8 @@ def build(source: Column, url: Column, title: Column, kind: Column, fetched: Col
         n, line, label, what = attribute("n", x["i"].cast("string")), x["line"], x["label"], x["kind"]
         mark = F.concat(F.lit("<pb"), attribute("n", F.coalesce(page_ref(label), label)), F.lit(' ana="page_marker"'), attribute("facs", F.try_element_at(facs, x["i"])), F.lit(" />"))
         turn = [n, attribute("type", what)]
-        asked = speech(turn, F.regexp_extract(line, r"^((?:Q|A)\.?)\s*(.*)$", 1), F.trim(F.regexp_extract(line, r"^((?:Q|A)\.?)\s*(.*)$", 2)), 4)
-        named = speech(turn, F.regexp_extract(line, r"^([^:]+:)\s*(.*)$", 1), F.trim(F.regexp_extract(line, r"^([^:]+:)\s*(.*)$", 2)), 4)
+        asked = speech(turn, F.regexp_extract(line, r"^((?:Q|A)\.?)\s*(.*)$", 1), F.trim(F.regexp_extract(line, r"^((?:Q|A)\.?)\s*(.*)$", 2)), 4, line.rlike(r"^[QA]\.?+\S"))
+        named = speech(turn, F.regexp_extract(line, r"^([^:]+:)\s*(.*)$", 1), F.trim(F.regexp_extract(line, r"^([^:]+:)\s*(.*)$", 2)), 4, line.rlike(r"^[^:]+:\S"))
         other = element("p", [n, attribute("type", F.nullif(what, F.lit("text")))], line)
         return F.when(label.isNotNull(), mark).when(what.isin("question", "answer"), asked).when((what == "speaker") & line.rlike("^[^:]+:"), named).otherwise(other)
 

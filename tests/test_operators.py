@@ -120,6 +120,15 @@ def test_tei_from_lines_reads_back(spark):
     assert [p["facs"] for p in doc["page_refs"]] == ["i1", None] and tei.read(tei.parse(made["s2"]))["text"] == ""
 
 
+def test_tei_lines_without_a_blank_after_the_speaker(spark):
+    said = ["A.### The&&& rest", "Q.What? A. no", "MR. X:well: so", "A.", "Q. What", "A.. b", "THE COURT: :x"]
+    one = tei.build(*(F.lit(x) for x in ("s", "u", "T", "k", "now", "ff")), F.col("t"), F.array().cast("array<string>"))
+    made = spark.createDataFrame([("\n".join(said),)], "t string").select(one).first()[0]
+    assert [s["text"] for s in tei.read(tei.parse(made))["segments"]] == said and made.count("<speaker>") == len(said)
+    text, found = tei.block_text(tei.ET.fromstring('<sp><speaker> A. </speaker><p rend="run-on">at <seg corresp="#l">Lake</seg></p><p>my <seg corresp="#l">Lake</seg></p></sp>'))
+    assert text == "A.at Lake my Lake" and [text[m["start"] : m["end"]] for m in found] == ["Lake", "Lake"]
+
+
 def test_tei_from_rows(spark):
     rows = spark.createDataFrame([("d", 0, "19", None, None, " a "), ("d", 1, "19", "Mr X", "p", "b & c"), ("d", 2, None, "Mr Y", "#q", "d"), ("d", 3, "20", "Z", None, " "), ("e", 0, None, None, None, None)], "id string, o int, page string, speaker string, speaker_id string, text string")
     cues = spark.createDataFrame([("d", "20", "f20")], "id string, page_ref string, facs string")
