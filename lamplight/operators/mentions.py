@@ -31,14 +31,15 @@ def _places(text: pd.Series, label: pd.Series) -> pd.Series:
 def occurrences(texts: DataFrame, labels: DataFrame, text: str, on: list[str] | None = None) -> DataFrame:
     """texts x labels (entity_id, label): a row (start, end) per occurrence, left to right, none overlapping, in any case.
 
-    With on, texts have labels of their own, by columns that both share. Without, a few labels go along with each text; more
-    are joined by their first trigram, so that a text meets only labels it may hold.
+    With on, texts have labels of their own, by columns that both share, and are never broadcast: what comes out of Python
+    is taken for less than it is. Without, a few labels go along with each text; more are joined by their first trigram, so
+    that a text meets only labels it may hold.
     """
     labels = labels.where(F.length("label") >= SHORTEST)
     rest = [c for c in labels.columns if c not in (on or [])]
     texts_ = texts.withColumn("_low", folded(F.col(text)))
     if on:
-        pairs = texts_.join(labels, on)
+        pairs = texts.hint("merge").join(labels, on).withColumn("_low", folded(F.col(text)))
     else:
         held = labels.limit(FEW + 1).collect()
         if len(held) <= FEW:

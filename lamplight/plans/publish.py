@@ -42,9 +42,7 @@ def publish(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     texts = tei.transcripts(docs, "source_id", "tei").where("error is null")
     at = entity_mentions(texts, labels(tables))
     per = at.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "entity_id", "id", "text", "confidence", "source"))), lambda m: F.struct(m["id"].alias("id"), m["kind"].alias("kind"), m["entity_id"].alias("entity_id"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), m["confidence"].alias("confidence"), m["source"].alias("source"))).alias("found"))
-    done = tei.annotated(docs.join(per, "source_id", "left"), "source_id", "tei", "found")
-    out = runs.transcript_stats(tei.transcripts(done, "source_id", "tei").drop("error"))
-    return done.join(out, "source_id")
+    return runs.transcript_stats(tei.published(docs.join(per, "source_id", "left"), "source_id", "tei", "found"))
 
 
 def validate(pages: DataFrame, docs: DataFrame) -> DataFrame:

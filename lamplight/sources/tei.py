@@ -306,6 +306,20 @@ def annotated(docs: DataFrame, key: str, tei: str, mentions: str) -> DataFrame:
     return _each(docs, key, [tei, mentions], {"tei": "string"}, lambda text, m: {"tei": serialize(annotate(parse(text or ""), m or []))})
 
 
+def published(docs: DataFrame, key: str, tei: str, mentions: str) -> DataFrame:
+    """(key, tei, TRANSCRIPT, error): annotated documents with their transcripts, both in one pass. One that can be annotated
+    and not read again keeps its tei beside the error."""
+
+    def work(text: str | None, found: list | None) -> dict:
+        made = serialize(annotate(parse(text or ""), found or []))
+        try:
+            return {"tei": made, **read(parse(made))}
+        except (ET.ParseError, ValueError) as e:
+            return {"tei": made, "error": f"{type(e).__name__}: {e}"}
+
+    return _each(docs, key, [tei, mentions], {"tei": "string", **TRANSCRIPT}, work)
+
+
 def combined(chunks: DataFrame, key: str, order: str, tei: str) -> DataFrame:
     """(key, tei, error): the chunks of each document as one. A document's chunks meet in one task, as its text does."""
     docs = chunks.where(F.col(tei).isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, tei))), lambda x: x[tei]).alias("_all"))

@@ -186,3 +186,11 @@ def test_occurrences_in_the_text_itself(spark):
     many = labels.union(spark.range(1200).selectExpr("concat('n', id)", "concat('zq', id, 'w')"))
     assert sorted((r["entity_id"], r["start"], r["end"]) for r in mentions.occurrences(texts, many, "t").collect()) == want
     assert mentions.occurrences(texts, labels.limit(0), "t").count() == 0
+
+
+def test_texts_with_labels_of_their_own_are_not_broadcast(spark):
+    texts = spark.range(3).select(F.col("id").alias("d"), F.concat(F.lit("At the Lake "), "id").alias("t"))
+    labels = spark.range(2).select(F.col("id").alias("d"), F.lit("lake").alias("label"))
+    found = mentions.occurrences(texts, labels, "t", on=["d"])
+    assert sorted((r["d"], r["start"], r["end"]) for r in found.collect()) == [(0, 7, 11), (1, 7, 11)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -22,6 +22,14 @@ def test_publish_annotates_own_entities(spark):
     assert got["s"]["source_stats"]["mentions"] == 4 and got["s"]["tei"].count("<annotation ") == 4
 
 
+def test_publish_reads_annotated_documents_in_the_same_pass(spark):
+    docs = spark.range(2).select(F.col("id").alias("source_id"), F.lit("<TEI><text><body><p>Ann met ann.</p></body></text></TEI>").alias("tei"))
+    people = spark.range(1).select(F.col("id").alias("source_id"), F.lit("p1").alias("id"), F.lit(0.5).alias("confidence"), F.lit("Ann").alias("display_name"), F.array().cast("array<string>").alias("alternate_names"))
+    out = publish.publish(docs, {"people": people})
+    assert {r["source_id"]: [m["start"] for m in r["mentions"]] for r in out.collect()} == {0: [0, 8], 1: []}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # the text that is searched, the document that is published
+
+
 def test_validation(spark):
     pages = spark.createDataFrame([("a", "Q. What is it?", ["19", "20"]), ("b", "quite other words stand here", []), ("c", "x", []), ("d", "", None)], "source_id string, text string, page_refs array<string>")
     docs = spark.createDataFrame([("a", '<TEI><text><body><pb n="19"/><sp type="answer" who="#x"><speaker>Q.</speaker><p>What is it?</p></sp></body></text><annotation target="#no"/></TEI>'), ("b", "<TEI><text><body><p>zzz</p></body></text></TEI>"), ("c", "<x"), ("d", "<TEI/>")], "source_id string, tei string")
