@@ -50,7 +50,7 @@ def validate(pages: DataFrame, docs: DataFrame) -> DataFrame:
     (source_id, tei) against pages (source_id, text, page_refs: those its cues have). Text drift needs both bars missed;
     page references that are missing only warn; the ratio is computed only where the recall fails."""
     flat = tei.transcripts(docs, "source_id", "tei")
-    both = pages.select("source_id", F.coalesce("text", F.lit("")).alias("_expected"), F.col("page_refs").alias("_refs")).join(flat, "source_id")
+    both = pages.select("source_id", F.coalesce("text", F.lit("")).alias("_expected"), F.col("page_refs").alias("_refs")).join(flat.hint("merge"), "source_id")  # sizes out of Python are unknown: never broadcast
     both = verdicts(both.withColumn("text", F.coalesce("text", F.lit(""))), "_expected", "text")
     actual = F.filter(F.transform("page_refs", lambda x: x["page_ref"]), lambda x: F.coalesce(x, F.lit("")) != "")
     both = both.withColumn("missing_page_refs", missing(F.filter("_refs", lambda x: F.coalesce(x, F.lit("")) != ""), actual))

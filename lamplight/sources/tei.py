@@ -251,6 +251,7 @@ def annotate(root: ET.Element, mentions: list[dict]) -> ET.Element:
 
 # ---- documents in Arrow batches
 
+HELD_ROWS, HELD_BYTES = 256, 1 << 20
 MENTION = "struct<id: string, kind: string, entity_id: string, provisional_entity_id: string, speaker_id: string, start: bigint, end: bigint, text: string, confidence: double, source: string>"
 TRANSCRIPT = {
     "text": "string",
@@ -265,19 +266,23 @@ UNITS = {"units": "array<struct<unit_index: int, unit_id: string, kind: string,
 
 
 def _each(docs: DataFrame, key: str, inputs: list[str], out: dict[str, str], work: Callable[..., dict]) -> DataFrame:
-    """key, out and error per row: work takes the inputs' values; what it can't read is null with an error."""
+    """key, out and error per row: work takes the inputs' values; what it can't read is null with an error. A worker holds
+    results of HELD_ROWS rows or HELD_BYTES of their inputs at once, and a document more, however large batches come."""
     ddl = ", ".join(f"`{c}` {t}" for c, t in {key: docs.schema[key].dataType.simpleString(), **out, "error": "string"}.items())
     arrow = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for values in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            rows, size = [], 0
+            for i in range(batch.num_rows):
                 try:
-                    rows.append(work(*values))
+                    rows.append(work(*(c[i].as_py() for c in batch.columns[1:])))
                 except (ET.ParseError, ValueError) as e:  # a document's damage is its row's result
                     rows.append({"error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.types[0]), *(pa.array([r.get(f.name) for r in rows], f.type) for f in list(arrow)[1:])], schema=arrow)
+                size += batch.slice(i, 1).nbytes
+                if len(rows) == HELD_ROWS or size >= HELD_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + 1 - len(rows), len(rows)).cast(arrow.types[0]), *(pa.array([r.get(f.name) for r in rows], f.type) for f in list(arrow)[1:])], schema=arrow)
+                    rows, size = [], 0
 
     return docs.select(key, *inputs).mapInArrow(run, ddl)
 

@@ -1,9 +1,13 @@
+from types import SimpleNamespace
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lamplight.functions import scores, text
 from lamplight.operators import checks, mentions, resolve, segments
-from lamplight.plans import stages
+from lamplight.plans import publish, stages
 from lamplight.sources import html, store, tei
 
 
@@ -194,3 +198,24 @@ def test_texts_with_labels_of_their_own_are_not_broadcast(spark):
     found = mentions.occurrences(texts, labels, "t", on=["d"])
     assert sorted((r["d"], r["start"], r["end"]) for r in found.collect()) == [(0, 7, 11), (1, 7, 11)]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_leave_workers_a_few_at_a_time(spark):  # a session parses types
+    docs = SimpleNamespace(schema=StructType.fromDDL("k long, t string"), select=lambda *c: SimpleNamespace(mapInArrow=lambda run, ddl: run))
+    worked = []
+    run = tei._each(docs, "k", ["t"], {"n": "long"}, lambda t: worked.append(t) or {"n": int(t)})
+    texts = ["x" if i == 700 else str(i) for i in range(1000)]
+    out = run(iter([pa.record_batch({"k": range(1000), "t": texts}), pa.record_batch({"k": [1000, 1001], "t": ["1000" + " " * tei.HELD_BYTES, "1001"]})]))
+    first = next(out)
+    assert len(worked) == first.num_rows == tei.HELD_ROWS
+    rest = list(out)
+    assert [b.num_rows for b in rest] == [256, 256, 232, 1, 1]
+    rows = [r for b in (first, *rest) for r in b.to_pylist()]
+    assert [r["k"] for r in rows] == list(range(1002)) and [r["n"] for r in rows] == [None if i == 700 else i for i in range(1002)] and rows[700]["error"]
+
+
+def test_validation_broadcasts_no_documents(spark):
+    docs = spark.range(2).select(F.col("id").alias("source_id"), F.lit("<TEI><text><body><p>a</p></body></text></TEI>").alias("tei"))
+    out = publish.validate(spark.range(2).select(F.col("id").alias("source_id"), F.lit("a").alias("text"), F.array().cast("array<string>").alias("page_refs")), docs)
+    assert [r["status"] for r in out.collect()] == ["valid"] * 2
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
