@@ -30,7 +30,8 @@ def entity_mentions(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(source_id, id, kind, entity_id, start, end, text, confidence, source) of every place where a document's own labels
     stand in it (source_id, text), one per kind, entity and range."""
     rows = mentions.occurrences(texts.select("source_id", "text"), found, "text", on=["source_id"])
-    once = rows.groupBy("source_id", "kind", "entity_id", "start", "end").agg(F.max("confidence").alias("confidence"), F.first(F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))).alias("text"))
+    words = F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))  # a key, though the range decides it: else every mention takes its whole text along
+    once = rows.groupBy("source_id", "kind", "entity_id", "start", "end", words.alias("text")).agg(F.max("confidence").alias("confidence"))
     name = F.concat_ws("_", F.lit("mention"), "kind", "entity_id", F.col("start").cast("string"), F.col("end").cast("string"))
     return once.withColumns({"id": name, "source": F.lit(tei.EXTRACTED_SOURCE)})
 

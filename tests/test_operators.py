@@ -219,3 +219,11 @@ def test_validation_broadcasts_no_documents(spark):
     out = publish.validate(spark.range(2).select(F.col("id").alias("source_id"), F.lit("a").alias("text"), F.array().cast("array<string>").alias("page_refs")), docs)
     assert [r["status"] for r in out.collect()] == ["valid"] * 2
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mentions_are_sorted_without_their_texts(spark):
+    texts = spark.range(2).select(F.col("id").alias("source_id"), F.lit("Ann met ann").alias("text"))
+    labels = spark.range(2).select(F.col("id").alias("source_id"), F.lit("person").alias("kind"), F.lit("p").alias("entity_id"), F.explode(F.array(F.lit("Ann"), F.lit("ann"))).alias("label"), F.lit(0.5).alias("confidence"))
+    found = publish.entity_mentions(texts, labels)
+    assert sorted((r["source_id"], r["start"], r["text"]) for r in found.collect()) == [(0, 0, "Ann"), (0, 8, "ann"), (1, 0, "Ann"), (1, 8, "ann")]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
